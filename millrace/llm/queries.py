@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mix_to_targets
 from .sharding import shard_by_bytes
 
 
@@ -13,13 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each with the words that the mix takes of it."""
+    return mix_to_targets(table(spark, sf_dir, "documents"), cap=3)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_sharding,)}
+    return {f.__name__: f for f in (op5_mixing, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
