@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_contamination
+from .html_extract import extract_main_text
 from .mixing import mix_to_targets
 from .sharding import shard_by_bytes
 from .warc import round_trip
@@ -27,6 +28,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"), cap=3)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
@@ -38,7 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_mixing, op7_sharding, op10_warc)}
+    return {f.__name__: f for f in (op2_decontamination, op5_mixing, op6_html, op7_sharding, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
