@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .html_extract import extract_main_text
+from .langid import fit, identify
 from .mixing import mix_to_targets
 from .sharding import shard_by_bytes
 from .warc import round_trip
@@ -17,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by a model of the two thirds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    found = identify(docs, fit(docs.filter(~held_out)), keep=("doc_id",))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, k=5)
@@ -44,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_mixing, op6_html, op7_sharding, op10_warc)}
+    return {f.__name__: f for f in (op1_langid, op2_decontamination, op5_mixing, op6_html, op7_sharding, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
