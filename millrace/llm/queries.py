@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .html_extract import extract_main_text
+from .jaccard_join import jaccard_groups
 from .langid import fit, identify
 from .mixing import mix_to_targets
 from .sharding import shard_by_bytes
@@ -33,6 +34,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the group that their near copies, by four-word shingles, connect them to."""
+    return jaccard_groups(table(spark, sf_dir, "documents"), n=4, num=85)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each with the words that the mix takes of it."""
     return mix_to_targets(table(spark, sf_dir, "documents"), cap=3)
@@ -54,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontamination, op5_mixing, op6_html, op7_sharding, op10_warc)}
+    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_jaccard, op5_mixing, op6_html, op7_sharding, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
