@@ -13,6 +13,7 @@ from .jaccard_join import jaccard_groups
 from .langid import fit, identify
 from .mixing import mix_to_targets
 from .sharding import shard_by_bytes
+from .substring_dedup import remove_repeats
 from .warc import round_trip
 
 
@@ -39,6 +40,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), n=4, num=85)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the twenty-word windows that also start earlier."""
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each with the words that the mix takes of it."""
     return mix_to_targets(table(spark, sf_dir, "documents"), cap=3)
@@ -60,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_jaccard, op5_mixing, op6_html, op7_sharding, op10_warc)}
+    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_jaccard, op4_substring, op5_mixing, op6_html, op7_sharding, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
