@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .embedding_dedup import near_duplicates
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_groups
 from .langid import fit, identify
@@ -60,13 +61,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links of cosine 0.95 and more."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_jaccard, op4_substring, op5_mixing, op6_html, op7_sharding, op10_warc)}
+    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_jaccard, op4_substring, op5_mixing, op6_html, op7_sharding, op9_embeddings, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
