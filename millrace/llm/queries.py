@@ -12,6 +12,7 @@ from .embedding_dedup import near_duplicates
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_groups
 from .langid import fit, identify
+from .line_dedup import dedup_lines
 from .mixing import mix_to_targets
 from .sharding import shard_by_bytes
 from .substring_dedup import remove_repeats
@@ -61,6 +62,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that near-equal earlier ones."""
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=5, min_similarity=0.8)
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors with their links of cosine 0.95 and more."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
@@ -72,7 +78,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_jaccard, op4_substring, op5_mixing, op6_html, op7_sharding, op9_embeddings, op10_warc)}
+    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_jaccard, op4_substring, op5_mixing, op6_html, op7_sharding, op8_lines, op9_embeddings, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
