@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from millrace.functions.shipping import ship_package
 
 from .common import Table
-from .links import connect
+from .links import connect, in_blocks
 from .textkit import blocks, byte_table, mix
 
 _U = np.uint64
 #: Documents whose texts are wanted for comparing are sent as a list up to this many; more are joined.
 MAX_SENT = 1_000_000
+#: Rows, and shingles in all, of half a block in which sets are compared all against all.
+GROUP_ROWS, GROUP_SHINGLES = 512, 500_000
 #: In the cost model, what a segment of one shingle or none costs, in signatures: it can agree by chance.
 THIN_COST = 12.0
 
@@ -133,6 +135,64 @@ def signatures(g: np.ndarray, bounds: np.ndarray, num: int) -> tuple[np.ndarray,
     return np.concatenate(sigs), np.concatenate(sets)
 
 
+def named_sets(nodes: list[int], texts: pa.Array, n: int, lower: bool) -> dict[int, np.ndarray]:
+    """The sets of the nodes, from their texts. Another text under a repeated id is not the one meant."""
+    out: dict[int, np.ndarray] = {}
+    for x, y, g, bounds in shingle_sets(texts, n, lower):
+        own = set_names(g, bounds).view(np.int64)
+        for i in range(x, y):
+            if own[i - x] == nodes[i]:
+                out[nodes[i]] = g[bounds[i - x] : bounds[i - x + 1]]
+    return out
+
+
+def within(p: np.ndarray, q: np.ndarray, num: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= num * (len(p) + len(q) - both)
+
+
+def linked_pairs(sets: list[np.ndarray], labels: np.ndarray, num: int) -> tuple[list[int], list[int]]:
+    """Links between sets of different labels: enough of them to connect whatever is linked.
+
+    All intersections at once, as products of 0/1 matrices over the shingles that occur in several of the sets.
+    """
+    k = len(sets)
+    if k < 2:
+        return [], []
+    sizes = np.array([len(x) for x in sets])
+    word, owner = np.concatenate(sets), np.repeat(np.arange(k), sizes)
+    _, word, count = np.unique(word, return_inverse=True, return_counts=True)
+    common = count[word] > 1
+    rank = np.cumsum(count > 1) - 1
+    word, owner = rank[word[common]], owner[common]
+    order = np.argsort(word, kind="stable")
+    word, owner = word[order], owner[order]
+    both = np.zeros((k, k), np.float32)
+    for low in range(0, int(word[-1]) + 1 if len(word) else 0, 4096):
+        x, y = np.searchsorted(word, (low, low + 4096))
+        m = np.zeros((k, 4096), np.float32)
+        m[owner[x:y], word[x:y] - low] = 1
+        both += m @ m.T
+    both = both.astype(np.int64)
+    a, b = np.nonzero(np.triu(100 * both >= num * (sizes[:, None] + sizes[None, :] - both), 1) & (labels[:, None] != labels[None, :]))
+    root = {x: x for x in set(labels.tolist())}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(int(labels[x])), find(int(labels[y]))
+        if p != q:
+            root[p] = q
+            out[0].append(x)
+            out[1].append(y)
+    return out
+
+
 def jaccard_groups(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "doc_id", text_col: str = "text", lower: bool = True) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, set_id``.
 
@@ -168,53 +228,62 @@ def jaccard_groups(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "do
     one = Table(sets.df.filter("set_id is not null").groupBy(F.col("set_id").alias("node")).agg(
         F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")), "sets-once")
 
+    def texts_of(nodes: DataFrame) -> Table:
+        """``node, text``: one text of each set wanted (``node, id``)."""
+        wanted = Table(nodes.distinct(), "wanted-texts")
+        few = wanted.df.limit(MAX_SENT + 1).count() <= MAX_SENT
+        out = Table(src.join(F.broadcast(wanted.df) if few else wanted.df, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text"), "texts")
+        wanted.drop()
+        return out
+
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs whose sets, made anew from the texts, are within the threshold."""
         size = lambda k: one.df.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("first").alias(f"f{k}"))
         fit = Table(pairs.join(size("a"), "a").join(size("b"), "b").filter(f"100 * least(na, nb) >= {num} * greatest(na, nb)"), "sized-pairs")
-        wanted = Table(fit.df.select(F.col("a").alias("node"), F.col("fa").alias("id")).union(fit.df.select("b", "fb")).distinct(), "wanted-texts")
-        few = wanted.df.count() <= MAX_SENT
-        texts = src.join(F.broadcast(wanted.df) if few else wanted.df, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-        texts = Table(texts, "texts")
+        texts = texts_of(fit.df.select(F.col("a").alias("node"), F.col("fa").alias("id")).union(fit.df.select("b", "fb")))
         wide = fit.df.select("a", "b").join(texts.df.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
             texts.df.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[int, np.ndarray | None] = {}
-
-            def sets_of(nodes: list[int], texts: pa.Array) -> None:
-                new = {k: i for i, k in enumerate(nodes) if k not in known}
-                at = list(new.values())
-                for x, y, g, bounds in shingle_sets(texts.take(pa.array(at, pa.int64())), n, lower):
-                    own = set_names(g, bounds).view(np.int64)
-                    for j in range(x, y):  # another text under a repeated id is not the one meant
-                        if own[j - x] == nodes[at[j]]:
-                            known[nodes[at[j]]] = g[bounds[j - x] : bounds[j - x + 1]]
-
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[int, np.ndarray] = {}
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
                     part = batch.slice(i, 256)
                     a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    sets_of(a, part.column(2))
-                    sets_of(b, part.column(3))
-                    keep = []
-                    for x, y in zip(a, b):
-                        p, q = known.get(x), known.get(y)
-                        if p is None or q is None:
-                            keep.append(False)
-                            continue
-                        both = len(np.intersect1d(p, q, assume_unique=True))
-                        keep.append(100 * both >= num * (len(p) + len(q) - both))
+                    for nodes, texts in ((a, part.column(2)), (b, part.column(3))):
+                        new = list({k: x for x, k in enumerate(nodes) if k not in known}.values())
+                        known |= named_sets([nodes[x] for x in new], texts.take(pa.array(new, pa.int64())), n, lower)
+                    keep = [x in known and y in known and within(known[x], known[y], num) for x, y in zip(a, b)]
                     yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-                    if sum(len(v) for v in known.values() if v is not None) > 2_000_000:
+                    if sum(map(len, known.values())) > 2_000_000:
                         known.clear()
 
-        linked = Table(wide.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct(), "linked")
-        for t in (fit, wanted, texts):
-            t.drop()
+        linked = Table(wide.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct(), "linked")
+        fit.drop()
+        texts.drop()
         return linked.df
 
-    labels = connect(rows, verify)
+    def compare(groups: DataFrame) -> DataFrame:
+        """Links between components within the groups, all against all in blocks of bounded size."""
+        sized = Table(groups.join(one.df.select(F.col("node").alias("k"), "n", "first"), F.col("node") == F.col("k")).select("head", "node", "label", "n", "first"), "group-members")
+        texts = texts_of(sized.df.select("node", F.col("first").alias("id")))
+        rows = in_blocks(sized.df.select("head", "node", "label", "n"), "n", GROUP_ROWS, GROUP_SHINGLES)
+        wide = rows.join(texts.df.select(F.col("node").alias("k"), "text"), F.col("node") == F.col("k")).select("head", "i", "j", "node", "label", "text")
+
+        def block(table: pa.Table) -> pa.Table:
+            nodes = table["node"].to_pylist()
+            sets = named_sets(nodes, table["text"].combine_chunks(), n, lower)
+            labels = dict(zip(nodes, table["label"].to_pylist()))
+            nodes = sorted(sets)
+            a, b = linked_pairs([sets[k] for k in nodes], np.array([labels[k] for k in nodes]), num)
+            return pa.table({"a": pa.array([nodes[x] for x in a], pa.int64()), "b": pa.array([nodes[x] for x in b], pa.int64())})
+
+        found = Table(wide.groupBy("head", "i", "j").applyInArrow(block, "a long, b long").distinct(), "group-links")
+        sized.drop()
+        texts.drop()
+        return found.df
+
+    labels = connect(rows, verify, compare)
     label = F.coalesce("label", "node")
     grouped = one.df.join(labels.df.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("node", "first", label.alias("label"))
     least = grouped.groupBy("label").agg(F.min("first").alias("least"))

@@ -60,14 +60,54 @@ def components(edges: DataFrame) -> Table:
     return out
 
 
-def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Table:
+def in_blocks(groups: DataFrame, weight: str, most: int, heaviest: int) -> DataFrame:
+    """Rows of ``groups`` (``head, node, label`` and ``weight``) with ``i, j``: every two nodes of a head whose labels
+    differ meet under some (head, i, j), and there are about ``2 * most`` rows, or a weight of ``2 * heaviest``, under
+    each. Large labels have blocks of their own, which do not meet each other."""
+    parts = lambda n, w: F.ceil(F.greatest(n / F.lit(most), w / F.lit(heaviest))).cast("int")
+    sizes = groups.groupBy("head", "label").agg(F.count("*").alias("n"), F.sum(weight).alias("w")).withColumn("s", parts(F.col("n"), F.col("w")))
+    large = (F.col("n") * 2 >= most) | (F.col("w") * 2 >= heaviest)
+    small = lambda c: F.sum(F.when(~large, F.col(c)).otherwise(0))
+    plans = sizes.groupBy(F.col("head").alias("h")).agg(parts(small("n"), small("w")).alias("pooled"), F.collect_list(F.when(large, F.struct("label", "s"))).alias("own"))
+    # One entry a block: its label, or null for blocks of several labels.
+    plans = Table(plans.select("h", "pooled", F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("pooled")), F.flatten(F.transform(
+        "own", lambda x: F.array_repeat(x["label"], x["s"])))).alias("blocks")), "block-plans")
+    rows = groups.join(plans.df, F.col("head") == F.col("h")).withColumn("at", F.array_position("blocks", F.col("label")).cast("int"))
+    same = F.size(F.filter("blocks", lambda x: F.coalesce(x == F.col("label"), F.lit(False))))
+    slot = F.pmod(F.xxhash64("node", F.lit(21)), F.when(F.col("at") > 0, same).otherwise(F.greatest("pooled", F.lit(1)))).cast("int")
+    rows = rows.withColumn("_b", F.when(F.col("at") > 0, F.col("at") - 1 + slot).otherwise(slot))
+    meets = F.filter(F.sequence(F.lit(0), F.size("blocks") - 1), lambda j: ~((F.col("at") > 0) & F.coalesce(F.get("blocks", j) == F.col("label"), F.lit(False))))
+    rows = rows.withColumn("_m", F.explode(meets))
+    return rows.select(*groups.columns, F.least("_b", "_m").alias("i"), F.greatest("_b", "_m").alias("j"))
+
+
+def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame] | None = None) -> Table:
     """``node, label`` of the graph of verified links among nodes that share a signature.
 
     ``rows``: ``sig, node`` (longs), evaluated twice; ``verify``: given distinct pairs ``a, b`` of nodes, those that link.
     All pairs that share a signature are verified, but for pairs already connected through verified links. Nodes
-    without links are left out.
+    without links are left out. With ``compare``, the groups that the stars leave in several components are not
+    spelled out as pairs: it gets ``head, node, label`` (a bucket's head with all members of the buckets it heads) and
+    returns links ``a, b`` that connect what is linked between components.
     """
     shared = Table(rows.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select(F.col("sig").alias("s"), "head"), "shared-signatures")
+    if compare is not None:
+        stars = Table(rows.join(shared.df, F.col("sig") == F.col("s")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+        shared.drop()
+        linked = Table(verify(stars.df).select("a", "b"), "star-links")
+        labels = components(linked.df)
+        both = stars.df.select(F.col("a").alias("head"), F.col("b").alias("node")).union(stars.df.select("a", "a").distinct())
+        own = Table(both.join(labels.df.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
+            "head", "node", F.coalesce("label", "node").alias("label")), "labelled-members")
+        mixed = Table(own.df.groupBy(F.col("head").alias("h")).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h"), "mixed-heads")
+        if mixed.df.limit(1).count():
+            extra = Table(compare(own.df.join(mixed.df, F.col("head") == F.col("h"), "left_semi")).select("a", "b"), "mixed-links")
+            labels.drop()
+            labels = components(linked.df.union(extra.df))
+            extra.drop()
+        for t in (stars, linked, own, mixed):
+            t.drop()
+        return labels
     members = Table(rows.join(shared.df, F.col("sig") == F.col("s"), "left_semi").select("sig", "node").distinct(), "bucket-members")
     stars = Table(members.df.join(shared.df, F.col("sig") == F.col("s")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
     linked = Table(verify(stars.df).select("a", "b"), "star-links")
