@@ -35,9 +35,13 @@ def fan_out_long(df: DataFrame, count: int) -> DataFrame:
     return df.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
 
 
-def _partitioned(df: DataFrame, index: Column, n: int, strategy: str, name: str) -> DataFrame:
+def _count(n: int) -> int:
     if n < 1:
         raise ValueError("the number of partitions must be positive")
+    return n
+
+
+def _partitioned(df: DataFrame, index: Column, n: int, strategy: str, name: str) -> DataFrame:
     safe = F.when(is_error(), 0).when((index >= 0) & (index < n), index).otherwise(0).cast("int")
     df = df.withColumn(PARTITION_INDEX, safe)
     return with_metadata(df, {
@@ -49,19 +53,19 @@ def partition_hash(df: DataFrame, key: str, n: int, name: str = "partition") ->
     """``partition_index`` = FNV-1a of the key modulo ``n`` for successes, 0 for errors. Keys of types other than string,
     int and long are labelled as a custom strategy."""
     kind = df.schema[key].dataType.simpleString()
-    index = F.coalesce(fnv1a_mod(F.col(key), kind, n), F.lit(0))
+    index = F.coalesce(fnv1a_mod(F.col(key), kind, _count(n)), F.lit(0))
     return _partitioned(df, index, n, "hash" if kind in ("string", "int", "bigint") else "custom", name)
 
 
 def partition_round_robin(df: DataFrame, n: int, name: str = "partition") -> DataFrame:
     """Successes in turn from partition 0; errors go to 0 and take no turn."""
-    out = _partitioned(number_successes(df, []), (F.col("_n") - 1) % n, n, "round_robin", name)
+    out = _partitioned(number_successes(df, []), (F.col("_n") - 1) % _count(n), n, "round_robin", name)
     return out.drop("_n")
 
 
 def partition_custom(df: DataFrame, index: Column, n: int, name: str = "partition") -> DataFrame:
     """Any expression as the index; null and out-of-range ones go to 0."""
-    return _partitioned(df, index, n, "custom", name)
+    return _partitioned(df, index, _count(n), "custom", name)
 
 
 def partition_stats(df: DataFrame) -> DataFrame:
