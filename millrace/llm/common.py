@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,9 +56,10 @@ class Table:
         fs.delete(p, True)
 
 
-def columns_of(docs: DataFrame, *names: str) -> list[Column]:
-    """The named columns only, so that extra columns of the input can clash with nothing."""
-    return [F.col(f"`{n}`") for n in names]
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, before the next large exchange."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def word_count(text: Column) -> Column:

@@ -30,7 +30,7 @@ MAX_SENT = 1_000_000
 #: Rows, and shingles in all, of half a block in which sets are compared all against all.
 GROUP_ROWS, GROUP_SHINGLES = 512, 500_000
 #: In the cost model, what a segment of one shingle or none costs, in signatures: it can agree by chance.
-THIN_COST = 12.0
+THIN_COST = 6.0
 
 
 def band(n: int, num: int) -> int:
@@ -42,31 +42,24 @@ def band(n: int, num: int) -> int:
 def scheme(b: int, num: int) -> tuple[int, int, int]:
     """(m, a, g) of band b: segments, segments with one-deletion neighbourhoods, and agreeing segments to spare.
 
-    g agreeing segments may be thin (without shingles to speak of) and still leave another one. Of the allotments that
-    the pigeonhole allows, the one of least cost is taken: signatures, plus a penalty for thin segments.
+    g agreeing segments may be thin (too few shingles to say anything) and still leave another one; sets with more thin
+    segments have signatures for those as well. Of the allotments that the pigeonhole allows, the one of least cost is
+    taken: signatures, plus a penalty for thin segments.
     """
     lo = max(1, math.ceil((100 / num) ** b - 1e-6))
     hi = max(lo, math.ceil((100 / num) ** (b + 1) - 1e-6) - 1)
     h = (100 - num) * (hi + hi * 100 // num) // (100 + num)
-    best = None
-    for all_deleted in (False, True):
-        g = 1
-        for _ in range(20):  # g depends on m and m on g
-            m = h + 1 + g if not all_deleted else -(-(h + 1 + 2 * g) // 2)
-            m = max(1, m)
+    found = []
+    for weight in (1, 2):  # each segment stands for one difference, or with its one-deletion neighbourhood for two
+        for g in range(h // 3 + 2):
+            m = -(-(h + 1 + weight * g) // weight)
             s = lo / m
-            thin = m * math.exp(-s) * (1 if not all_deleted else 1 + s)
-            new = min(m - 1, math.ceil(thin + 3 * math.sqrt(thin))) if m > 1 else 0
-            if new <= g:
+            thin = m * math.exp(-s) * (1 if weight == 1 else 1 + s)
+            if m == 1 or g >= thin + 2 * math.sqrt(thin):
                 break
-            g = new
-        a = m if all_deleted else 0
-        if m + a - (2 if a else 1) * g < h + 1:
-            g = max(0, (m + a - h - 1) // (2 if a else 1))
-        cost = m + a * s + THIN_COST * m * math.exp(-s) * (1 + s)
-        if best is None or cost < best[0]:
-            best = (cost, m, a, g)
-    return best[1:]
+        cost = m + (weight - 1) * lo + THIN_COST * m * math.exp(-s) * (1 + s)
+        found.append((cost, m, (weight - 1) * m, min(g, m - 1)))
+    return min(found)[1:]
 
 
 def shingle_sets(texts: pa.Array, n: int, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, release
 
 MAX_ROUNDS = 40
 
@@ -81,20 +81,25 @@ def in_blocks(groups: DataFrame, weight: str, most: int, heaviest: int) -> DataF
     return rows.select(*groups.columns, F.least("_b", "_m").alias("i"), F.greatest("_b", "_m").alias("j"))
 
 
-def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame] | None = None) -> Table:
+def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame] | None = None,
+            near: Callable[[Column, Column], Column] | None = None) -> Table:
     """``node, label`` of the graph of verified links among nodes that share a signature.
 
     ``rows``: ``sig, node`` (longs), evaluated twice; ``verify``: given distinct pairs ``a, b`` of nodes, those that link.
     All pairs that share a signature are verified, but for pairs already connected through verified links. Nodes
     without links are left out. With ``compare``, the groups that the stars leave in several components are not
     spelled out as pairs: it gets ``head, node, label`` (a bucket's head with all members of the buckets it heads) and
-    returns links ``a, b`` that connect what is linked between components.
+    returns links ``a, b`` that connect what is linked between components. With ``near``, rows have a column ``info`` (a
+    long that depends on the node only) and pairs whose infos are not near are left out before they are verified.
     """
     shared = Table(rows.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select(F.col("sig").alias("s"), "head"), "shared-signatures")
+    release(rows.sparkSession)
     if compare is not None:
         stars = Table(rows.join(shared.df, F.col("sig") == F.col("s")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
         shared.drop()
+        release(rows.sparkSession)
         linked = Table(verify(stars.df).select("a", "b"), "star-links")
+        release(rows.sparkSession)
         labels = components(linked.df)
         both = stars.df.select(F.col("a").alias("head"), F.col("b").alias("node")).union(stars.df.select("a", "a").distinct())
         own = Table(both.join(labels.df.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
@@ -108,21 +113,26 @@ def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], compare:
         for t in (stars, linked, own, mixed):
             t.drop()
         return labels
-    members = Table(rows.join(shared.df, F.col("sig") == F.col("s"), "left_semi").select("sig", "node").distinct(), "bucket-members")
-    stars = Table(members.df.join(shared.df, F.col("sig") == F.col("s")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+    info = ["info"] if near else []
+    members = Table(rows.join(shared.df, F.col("sig") == F.col("s"), "left_semi").select("sig", "node", *info).distinct(), "bucket-members")
+    release(rows.sparkSession)
+    heads = members.df.join(shared.df, (F.col("sig") == F.col("s")) & (F.col("node") == F.col("head"))).select("s", "head", *[F.col(c).alias(f"h{c}") for c in info])
+    stars = members.df.join(heads, (F.col("sig") == F.col("s")) & (F.col("node") != F.col("head")) & (near(F.col("info"), F.col("hinfo")) if near else F.lit(True)))
+    stars = Table(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
     linked = Table(verify(stars.df).select("a", "b"), "star-links")
     labels = components(linked.df)
 
     # Buckets whose members are not all in one component yet.
     own = members.df.join(labels.df.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
-        "sig", "node", F.coalesce("label", "node").alias("label"))
+        "sig", "node", F.coalesce("label", "node").alias("label"), *info)
     own = Table(own, "labelled-members")
     members.drop()
     mixed = Table(own.df.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(F.col("sig").alias("s")), "mixed-buckets")
     shared.drop()
     rest = own.df.join(mixed.df, F.col("sig") == F.col("s"), "left_semi")
-    left, right = rest.select("sig", F.col("node").alias("a"), F.col("label").alias("la")), rest.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "sig").filter("a < b and la <> lb").select("a", "b").distinct()
+    left, right = (rest.select(F.col("sig").alias(f"s{k}"), F.col("node").alias(k), F.col("label").alias(f"l{k}"), *[F.col(c).alias(f"i{k}") for c in info]) for k in "ab")
+    pairs = left.join(right, (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (near(F.col("ia"), F.col("ib")) if near else F.lit(True)))
+    pairs = pairs.select("a", "b").distinct()
     tried = stars.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = Table(pairs.join(tried, ["a", "b"], "left_anti"), "mixed-pairs")
     own.drop()
