@@ -37,7 +37,7 @@ def capped_targets(sizes: dict[str | None, int], cap: float = 3.0) -> dict[str |
         if not over:
             return targets | {s: weight[s] * each for s in free}
         for s in over:
-            targets[s] = cap * sizes[s]
+            targets[s] = float(cap * sizes[s])
             left -= targets[s]
         free = [s for s in free if s not in targets]
         left = max(left, 0.0)
