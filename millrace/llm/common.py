@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.shipping import ship_package
+
+MAX_BATCH_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,6 +59,14 @@ class Table:
         fs.delete(p, True)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Before Python code runs on executors: ship the package, and keep Arrow batches of whole texts small (the session's
+    limit of rows a batch is lowered to MAX_BATCH_ROWS; it changes no result)."""
+    ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > MAX_BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MAX_BATCH_ROWS))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more, before the next large exchange."""
     gc.collect()

@@ -15,9 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.shipping import ship_package
-
-from .common import Table
+from .common import Table, prepare
 from .textkit import blocks, byte_table
 
 #: Words of a benchmark block that is sent to the tasks (about 50 bytes each there). More words make more blocks.
@@ -150,7 +148,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     if not 1 <= k <= window:
         raise ValueError("k must lie between 1 and the window")
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     bench = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")).filter("item is not null and text is not null")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // (6 * max_block_words)))

@@ -18,9 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.shipping import ship_package
-
-from .common import Table
+from .common import Table, prepare
 from .links import components
 
 #: Nodes that centres are fitted on, at most (fewer for long vectors: SAMPLE_BYTES), and centres.
@@ -285,7 +283,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     Repeated rows are vectors of their own. A null id is never the smallest. Empty input, no rows.
     """
     spark = vectors.sparkSession
-    ship_package(spark)
+    prepare(spark)
     v = F.transform(F.col(f"`{vec_col}`"), lambda e: e.cast("double") + F.lit(0.0))
     fit = F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0), F.lit(False))
     rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.when(fit, v).alias("embedding")).withColumn(

@@ -21,9 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.shipping import ship_package
-
-from .common import Table
+from .common import Table, prepare
 
 #: A host's nodes count as known from this many different pages on; below, only names and classes decide.
 MIN_PAGES = 10
@@ -233,7 +231,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     that is cut off or nested wrongly is read as far as it goes. Other columns are ignored; no rows, no result rows.
     """
     spark = pages.sparkSession
-    ship_package(spark)
+    prepare(spark)
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"),
                         host_of(F.col(f"`{url_col}`")).alias("host"))
 

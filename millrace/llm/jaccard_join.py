@@ -18,9 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.shipping import ship_package
-
-from .common import Table
+from .common import Table, prepare
 from .links import connect, in_blocks
 from .textkit import blocks, byte_table, mix
 
@@ -196,7 +194,7 @@ def jaccard_groups(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "do
     doc_id's, which is null where no other member has an id. Repeated rows are equal sets. Empty input, no rows.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,9 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.shipping import ship_package
-
-from .common import Table
+from .common import Table, prepare
 from .textkit import BLOCK_BYTES
 
 #: Labelled rows to fit on, about, for each language (a sample by a hash of the text); all rows of rarer languages.
@@ -109,7 +107,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     Fits on all rows of languages with up to ``fit_rows`` rows, and on a hash sample of about that many of the others.
     """
     spark = labelled.sparkSession
-    ship_package(spark)
+    prepare(spark)
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -149,7 +147,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     are read, however long. Ties go to the language first by name.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{text_col}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"))
     schema = rows.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "mixture": F.create_map(F.lit(""), F.lit(0.0))}).schema

@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.shipping import ship_package
-
-from .common import Table
+from .common import Table, prepare
 from .textkit import Words, blocks, byte_table, mix
 
 _U = np.uint64
@@ -116,7 +115,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     by 64-bit names within 64-bit signatures. Empty input, no rows.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     is_word = byte_table("spaces")
@@ -185,7 +184,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 own_firsts = batch.column(3).slice(a, b - a)
                 stays = np.zeros(len(w.name) + 1, bool)
                 lists = own_firsts.fill_null([])
-                where = np.repeat(w.first[:-1], np.asarray(pa.compute.list_value_length(lists), np.int64)) + np.asarray(lists.flatten(), np.int64)
+                count = np.asarray(pc.list_value_length(lists), np.int64)
+                places, doc = np.asarray(lists.flatten(), np.int64), np.repeat(np.arange(b - a), count)
+                where = (w.first[doc] + places)[places < np.diff(w.first)[doc]]  # a repeated id may have a shorter text
                 stays[where] = True
                 at = at[~stays[at]]
                 cover = np.zeros(len(w.name) + window + 1, np.int32)

@@ -1,7 +1,7 @@
 """Vectorised tokens: the words of many texts at once, as numpy arrays over their UTF-8 bytes.
 
 A word's name is a 64-bit hash of its bytes, so all executors name a word alike without a dictionary. Texts are
-taken in blocks of a few megabytes; a longer text is a block of its own.
+taken in blocks of half a megabyte; a longer text is a block of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 

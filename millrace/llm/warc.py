@@ -23,9 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.shipping import ship_package
-
-from .common import Table, new_table_path
+from .common import Table, new_table_path, prepare
 
 MAGIC = b"\x1f\x8b\x08"
 _EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + b"\x00" * 8
@@ -80,7 +78,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def write_warc(records: DataFrame, path: str, level: int = 6) -> None:
     """Write the planned records as gzip members, a file for each task."""
-    ship_package(records.sparkSession)
+    prepare(records.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +162,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     Spark would inflate such a file as a whole; nothing else depends on names. An empty archive gives no rows. The one
     case read wrongly is a member that holds another WARC member uncompressed just where a range begins.
     """
-    ship_package(spark)
+    prepare(spark)
     lines = (spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
              .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece")))
     names = [f.split()[0] for f in RECORD.split(", ")]
