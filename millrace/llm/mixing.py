@@ -21,6 +21,8 @@ MAX_CONSTRAINTS = 4096
 SLICES = 1024
 MAX_ITERATIONS = 60
 REFINEMENTS = 12
+#: A source further from its target than this share of it is refined beyond the first steps.
+FAR = 0.005
 
 
 def capped_targets(sizes: dict[str | None, int], cap: float = 3.0) -> dict[str | None, float]:
@@ -128,46 +130,55 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     quota = Table(by_size.select("_source", "_k", "source_size", "target", "rate", "size", "n", F.floor("rate").alias("base"), (
         F.floor(F.col("_f") * F.col("_upto") + 0.5) - F.floor(F.col("_f") * (F.col("_upto") - F.col("n")) + 0.5)).alias("up")), "mix-quota")
 
-    # Refinement: the sum of each source misses its target by less than its largest document; flip one document at a time.
-    flips: dict[tuple[int, int], int] = {}
+    # Refinement: the sum of each source misses its target by less than its largest document. Move single copies; where
+    # none brings it nearer and it is still off, overshoot by the smallest step and go on from there, keeping the best.
+    moves: dict[int, dict[int, int]] = {i: {} for i in number.values()}
+    best_moves: dict[int, dict[int, int]] = {i: {} for i in number.values()}
     error = {r["_k"]: r["target"] - r["t"] for r in quota.df.groupBy("_k", "target").agg(
         F.sum(F.col("size") * (F.col("n") * F.col("base") + F.col("up"))).alias("t")).collect()}
-    for _ in range(REFINEMENTS):
-        open_ = {k: e for k, e in error.items() if abs(e) >= 1 and sizes_of(number, sizes, k)}
+    least, goal = dict(error), {number[s]: t for s, t in targets.items()}
+    for turn in range(REFINEMENTS):
+        close = 1.0 if turn < REFINEMENTS // 2 else None  # later rounds are for sources that are still far off
+        open_ = {k: e for k, e in error.items() if abs(least[k]) >= (close or max(1.0, FAR * goal[k])) and goal[k] > 0}
         if not open_:
             break
         e = F.element_at(F.create_map(*[F.lit(x) for k, v in open_.items() for x in (k, float(v))]), F.col("_k"))
-        done = spark.createDataFrame([(k, s, d) for (k, s), d in flips.items()], "_k int, size long, _d long")
-        now = quota.df.join(F.broadcast(done), ["_k", "size"], "left").withColumn("_up", F.col("up") + F.coalesce("_d", F.lit(0)))
-        able = F.when(e > 0, (F.col("_up") < F.col("n")) & (F.col("base") < cap)).otherwise(F.col("_up") > 0)
+        touched = spark.createDataFrame([(k, z, d) for k, own in moves.items() for z, d in own.items()], "_k int, size long, _d long")
+        now = quota.df.join(F.broadcast(touched), ["_k", "size"], "left").withColumn("_up", F.col("up") + F.coalesce("_d", F.lit(0)))
+        copies = F.col("n") * F.col("base") + F.col("_up")
+        same_way = F.coalesce(F.col("_d") * F.signum(e) >= 0, F.lit(True))
+        able = F.when(e > 0, copies < F.col("n") * cap).otherwise(copies > 0) & same_way
         gap = F.abs(F.abs(e) - F.col("size"))
-        best = now.filter(F.col("_k").isin(*open_) & able & (F.col("size") > 0) & (gap < F.abs(e))).groupBy("_k").agg(
-            F.min_by("size", F.struct(gap, "size")).alias("size")).collect()
-        if not best:
+        found = now.filter(F.col("_k").isin(*open_) & able & (F.col("size") > 0)).groupBy("_k").agg(F.min_by("size", F.struct(gap, "size")).alias("size")).collect()
+        if not found:
             break
-        for k, s in best:
+        for k, z in found:
             up = 1 if error[k] > 0 else -1
-            flips[k, s] = flips.get((k, s), 0) + up
-            error[k] -= up * s
+            if abs(error[k] - up * z) >= abs(error[k]) and abs(least[k]) < max(1.0, FAR * goal[k]):
+                error[k] = 0.0  # near enough, and nothing better in one step
+                continue
+            moves[k][z] = moves[k].get(z, 0) + up
+            error[k] -= up * z
+            if abs(error[k]) < abs(least[k]):
+                least[k], best_moves[k] = error[k], dict(moves[k])
+    flips = {(k, z): d for k, own in best_moves.items() for z, d in own.items()}
 
     # From the quota of a size to slices, and from slices to documents: one exchange, on the slice, serves both.
     done = F.broadcast(spark.createDataFrame([(k, s, d) for (k, s), d in flips.items()], "_k int, size long, _d long"))
     final = quota.df.join(done, ["_k", "size"], "left").select(
-        *_null_safe("_source"), "size", "source_size", "target", "rate", "base", F.col("n").alias("_n"),
-        (F.col("up") + F.coalesce("_d", F.lit(0))).alias("_up"))
+        *_null_safe("_source"), "size", "source_size", "target", "rate", F.col("n").alias("_n"),
+        (F.col("n") * F.col("base") + F.col("up") + F.coalesce("_d", F.lit(0))).alias("_up"))
     sliced = cells.df.select(*_null_safe("_source"), "size", "_slice", "n").withColumn(
         "_upto", F.sum("n").over(Window.partitionBy("_null", "_s", "size").orderBy("_slice")))
     part = lambda upto: F.expr(f"(_up * ({upto})) div greatest(_n, 1)")
     slices = Table(sliced.join(final, ["_null", "_s", "size"]).select(
-        "_null", "_s", "size", "_slice", "source_size", "target", "rate", "base",
+        "_null", "_s", "size", "_slice", "n", "source_size", "target", "rate",
         (part("_upto") - part("_upto - n")).alias("_take")), "mix-slices")
     key = ["_null", "_s", "size", "_slice"]
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))
     out = rows.select("*", *_null_safe("_source")).withColumn("_rn", nth).join(slices.df, key)
-    copies = (F.col("base") + (F.col("_rn") <= F.col("_take")).cast("int")).cast("int")
+    # The slice's copies, dealt evenly over its documents.
+    copies = F.expr("_take div n + if(_rn <= _take % n, 1, 0)").cast("int")
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"),
                       copies.alias("copies"), "rate", *[F.col(f"_carry.`{c}`") for c in carry])
 
-
-def sizes_of(number: dict, sizes: dict, k: int) -> int:
-    return next(sizes[s] for s, i in number.items() if i == k)
