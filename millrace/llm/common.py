@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from millrace.functions.shipping import ship_package
 
 MAX_BATCH_ROWS = 1000
+#: Spark's setting that deletes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,7 +52,12 @@ class Table:
         self.spark = df.sparkSession
         self.path = new_table_path(self.spark, name)
         schema = df.schema
-        df.write.parquet(self.path)
+        old = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # the exchanges of the plan end with it: nothing reads them again
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, old)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -67,12 +73,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MAX_BATCH_ROWS))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, before the next large exchange."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters other than ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
