@@ -72,6 +72,10 @@ class Model:
             self._index[self.codes] = np.arange(1, len(self.codes) + 1)
         return self._index
 
+    def forget(self) -> None:
+        """Give the index's memory back: workers live on after their task."""
+        self._index = None
+
     def mixture(self, codes: np.ndarray) -> dict[int, float]:
         """Proportions of the languages selected for a text."""
         c = np.bincount(self.index()[codes], minlength=len(self.codes) + 1)
@@ -168,5 +172,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.map_(pa.string(), pa.float64()))],
                 names=["_keep", "lang_pred", "score", "mixture"])
+        if m is not None:
+            m.forget()
 
     return rows.mapInArrow(predict, schema).select("_keep.*", "lang_pred", "score", "mixture")
