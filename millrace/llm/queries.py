@@ -64,7 +64,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that near-equal earlier ones."""
-    return dedup_lines(table(spark, sf_dir, "documents"), min_words=5, min_similarity=0.9)
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=5, min_similarity=0.8, zeros=True)
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
