@@ -63,8 +63,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that near-equal earlier ones."""
-    return dedup_lines(table(spark, sf_dir, "documents"), min_words=5, min_similarity=0.8, zeros=True)
+    """All documents without the lines that near-equal earlier ones. Nine characters is the least that five words have."""
+    return dedup_lines(table(spark, sf_dir, "documents"), min_similarity=0.8, zeros=True, min_chars=9)
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,3 +16,9 @@ def test_lines_alike_but_for_digits_or_a_fifth(docs_frame, tmp_path):
     # Words of two letters have no weight in the SimHash: these are within three bits, at similarity 0.82.
     rows += [(4, "aa bb cc dd extraordinarily incomprehensible"), (5, "ee ff gg hh extraordinarily incomprehensible")]
     assert removed_by_op8(docs_frame, tmp_path, rows) == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+
+
+def test_short_lines_and_lines_without_spaces(docs_frame, tmp_path):
+    thai = "ภาษาไทยเขียนโดยไม่มีช่องว่างระหว่างคำ"
+    rows = [(1, "Read more\n\n日本語の長い行には空白がありません\n* * *"), (2, f"read MORE!\n\n日本語の長い行には空白がありません\n* * *\n{thai}"), (3, f"{thai}\nRead less\n ")]
+    assert removed_by_op8(docs_frame, tmp_path, rows) == {1: 0, 2: 3, 3: 1}
