@@ -4,13 +4,14 @@ Equal vectors are one node. Centres are fitted on a bounded sample; every node j
 centres, so shards overlap. In each shard a graph is built by robust pruning; a node's lists from its shards are
 united. Every node is searched from the medoids of its shards: a greedy beam search finds the neighbourhood, then the
 range expands over the graph while neighbours stay near the threshold. Each pair found is verified in double
-precision and counted in one shard only; an audit against brute force on a sample of queries sets whether the search is
-repeated with more overlap. Large shards are cut into pieces of bounded size, each searched for all nodes of its
+precision and counted in one shard only; an audit against brute force on one node in fifty sets whether the search is
+repeated with more overlap, and fails where the last one is still under the target. Large shards are cut into pieces of bounded size, each searched for all nodes of its
 shard, in blocks.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import Table, prepare
 from .links import components
 
+log = logging.getLogger(__name__)
+
 #: Nodes that centres are fitted on, at most (fewer for long vectors: SAMPLE_BYTES), and centres.
 SAMPLE, SAMPLE_BYTES, MAX_CENTRES = 16_384, 64 << 20, 1024
 #: Nodes a centre is meant for, and nodes of a piece at most, about.
@@ -31,7 +34,10 @@ CANDIDATES, DEGREE, ALPHA, RANDOM, BEAM, BATCH = 48, 20, 1.2, 4, 16, 256
 SLACK = 0.05
 #: Distinct vector lengths in one input, at most; vectors of different length never link.
 MAX_LENGTHS = 64
-AUDIT = 64
+#: The audit asks for one node in so many, and for so many at least, about; so many are sent at once (fewer if long).
+AUDIT_EVERY, AUDIT_LEAST, AUDIT_BLOCK = 50, 64, 4096
+#: Searches at most, each with more overlap and a wider beam than the one before.
+MAX_TURNS = 4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -253,24 +259,39 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, beam: int) -> Table
     return found
 
 
-def audit_recall(nodes: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the links of a sample of nodes, by brute force over all nodes, that ``found`` (node, links) has."""
+def audit_recall(nodes: DataFrame, found: DataFrame, threshold: float, every: int = AUDIT_EVERY) -> float | None:
+    """Share of links that ``found`` (node, links) has, by brute force over all nodes, of one node in ``every`` (by hash;
+    more where that is under AUDIT_LEAST): the mean over nodes with links or the share of all their links, whichever is
+    smaller; None where none of them has links.
+    The nodes asked for are sent in blocks of bounded size, a pass over all nodes each."""
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(77))).limit(queries).select("node", "embedding").toArrow()
-    if not len(sample):
-        return 1.0
-    sent = spark.sparkContext.broadcast((sample["node"].to_numpy(), unit(matrix(sample["embedding"]))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        for batch in batches:
-            hit = (q @ unit(matrix(batch.column(2))).T >= threshold) & (ids[:, None] != batch.column(0).to_numpy()[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((hit * batch.column(1).to_numpy()[None, :]).sum(1).astype(np.int64))], names=["node", "n"])
-
-    true = {r[0]: r[1] for r in nodes.select("node", "mult", "embedding").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n")).collect()}
-    have = {r[0]: r[1] for r in found.filter(F.col("node").isin(list(true))).groupBy("node").agg(F.sum("links")).collect()}
-    total = sum(true.values())
-    return sum(min(have.get(k) or 0, v) for k, v in true.items()) / total if total else 1.0
+    n, length = nodes.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n:
+        return None
+    every = max(1, min(every, n // AUDIT_LEAST))
+    blocks = -(-n // (every * max(1, min(AUDIT_BLOCK, SAMPLE_BYTES // (8 * length)))))
+    asked = nodes.filter(F.pmod(F.xxhash64("node", F.lit(77)), F.lit(every)) == 0).withColumn("block", F.pmod(F.xxhash64("node", F.lit(78)), F.lit(blocks)))
+    shares, with_links, kept, links = 0.0, 0, 0, 0
+    for k in range(blocks):
+        block = asked.filter(F.col("block") == k).select("node", "embedding").toArrow()
+        if not len(block):
+            continue
+        sent = spark.sparkContext.broadcast((block["node"].to_numpy(), unit(matrix(block["embedding"]))))
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for batch in batches:
+                hit = (q @ unit(matrix(batch.column(2))).T >= threshold) & (ids[:, None] != batch.column(0).to_numpy()[None, :])
+                some = np.flatnonzero(hit.any(1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array((hit[some] * batch.column(1).to_numpy()[None, :]).sum(1).astype(np.int64))], names=["node", "n"])
+
+        true = nodes.select("node", "mult", "embedding").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+        have = found.filter("links is not null").join(F.broadcast(asked.filter(F.col("block") == k).select("node")), "node", "left_semi").groupBy("node").agg(F.sum("links").alias("have"))
+        both = true.join(have, "node", "left").select("n", F.least(F.coalesce("have", F.lit(0)), "n").alias("k"))
+        got = both.agg(F.sum(F.col("k") / F.col("n")), F.count("*"), F.sum("k"), F.sum("n")).first()
+        shares, with_links, kept, links = (x + (y or 0) for x, y in zip((shares, with_links, kept, links), got))
+        sent.unpersist()
+    return min(shares / with_links, kept / links) if with_links else None
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", overlap: int = 2,
@@ -295,11 +316,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     found = None
     for k in lengths:
         own = once.df.filter(F.size("embedding") == k)
-        for turn in range(3):
+        for turn in range(MAX_TURNS):
             part = _links(own, threshold, overlap + turn, beam * (turn + 1))
-            if turn == 2 or audit_recall(own, part.df, threshold) >= least_recall:
+            recall = audit_recall(own, part.df, threshold)
+            log.info("vectors of length %d, overlap %d: recall %s", k, overlap + turn, recall)
+            if recall is not None and recall >= least_recall:
                 break
-            part.drop()
+            if turn < MAX_TURNS - 1:
+                part.drop()
+        else:
+            # No links in the audit even with the widest search: there is nothing to hold it against.
+            if recall is not None:
+                raise RuntimeError(f"recall {recall:.4f} for vectors of length {k} is under {least_recall} with overlap {overlap + turn}")
         found = part.df if found is None else found.union(part.df)
     if found is None:
         found = spark.createDataFrame([], "node long, links long, label long")

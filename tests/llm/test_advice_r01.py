@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pytest
+
+from millrace.llm import embedding_dedup
+from millrace.llm.common import Table
+from millrace.llm.embedding_dedup import audit_recall, near_duplicates
 from millrace.llm.queries import op8_lines
 
 
@@ -22,3 +29,19 @@ def test_short_lines_and_lines_without_spaces(docs_frame, tmp_path):
     thai = "ภาษาไทยเขียนโดยไม่มีช่องว่างระหว่างคำ"
     rows = [(1, "Read more\n\n日本語の長い行には空白がありません\n* * *"), (2, f"read MORE!\n\n日本語の長い行には空白がありません\n* * *\n{thai}"), (3, f"{thai}\nRead less\n ")]
     assert removed_by_op8(docs_frame, tmp_path, rows) == {1: 0, 2: 3, 3: 1}
+
+
+def on_circle(degrees):
+    return [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+
+
+def test_audit_averages_over_nodes_and_guards_every_turn(spark, monkeypatch):
+    group = [(i, 1, on_circle(i * 0.001)) for i in range(200)]
+    pairs = [(1000 + i, 1, on_circle(90 + i // 2 * 4 + i % 2 * 0.01)) for i in range(80)]
+    nodes = spark.createDataFrame(group + pairs, "node long, mult long, embedding array<double>")
+    found = spark.createDataFrame([(i, 199, None) for i in range(200)], "node long, links long, label long")
+    assert abs(audit_recall(nodes, found, 0.9999, every=1) - 200 / 280) < 1e-9
+    assert audit_recall(nodes.filter("node % 2 = 0 and node >= 1000"), found, 0.9999) is None
+    monkeypatch.setattr(embedding_dedup, "_links", lambda *a: Table(found.limit(0), "none"))
+    with pytest.raises(RuntimeError, match="recall 0.0000"):
+        near_duplicates(nodes.selectExpr("node AS vec_id", "embedding"), 0.9999)
