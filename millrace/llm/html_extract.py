@@ -35,6 +35,8 @@ MAX_SENT = 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math canvas object audio video select".split())
+#: Of these, elements whose contents are text up to their closing tag; the others hold elements and are boilerplate by name.
+RAW_TEXT = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 DROPPED = RAW | frozenset("head nav footer aside form button input dialog menu fieldset legend datalist map applet".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored promo promos promotion
@@ -135,12 +137,13 @@ def parse(page: str) -> tuple[list[tuple[tuple[Node, ...], str]], bool]:
             elif name not in INLINE:
                 flush()
             continue
-        if name in RAW:
+        if name in RAW_TEXT:
             found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = found.end() if found else n
             continue
         if name not in INLINE:
             if name in CLOSES_P:
+                close(("svg", "math", "select"), ("foreignobject", "annotation-xml"))  # left open: such elements end them
                 close(("p",), SCOPE["p"])
             if name in SAME_CLOSES:
                 close(SAME_CLOSES[name], SCOPE[name])

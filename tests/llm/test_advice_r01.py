@@ -9,6 +9,7 @@ import pytest
 from millrace.llm import embedding_dedup
 from millrace.llm.common import Table
 from millrace.llm.embedding_dedup import audit_recall, near_duplicates
+from millrace.llm.html_extract import extract_main_text, main_text
 from millrace.llm.queries import op8_lines
 
 
@@ -45,3 +46,10 @@ def test_audit_averages_over_nodes_and_guards_every_turn(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "_links", lambda *a: Table(found.limit(0), "none"))
     with pytest.raises(RuntimeError, match="recall 0.0000"):
         near_duplicates(nodes.selectExpr("node AS vec_id", "embedding"), 0.9999)
+
+
+def test_elements_without_a_closing_tag():
+    for page in ("<p>one<svg class=icon/> two</p><p>three", "<p>one<math/> two</p><p>three", "<div>one two<svg><path d=x></div><p>three", "<p>one two</p><svg><g><p>three",
+                 "<div>one two<canvas></div><p>three", "<div>one two<select><option>x</div><p>three", "<p>one <svg><text>x</text></svg>two</p><p>three"):
+        assert main_text(page, "", frozenset()) == "one two three", page
+    assert main_text("<p>one<script>a <p>b", "", frozenset()) == "one"
