@@ -3,9 +3,9 @@
 The pages of a host are merged by element style (the path of element names and classes). A node that shows the same
 children and the same contents on all pages of its host has low entropy-based importance and is boilerplate; one
 whose contents differ from page to page is content. Two scans: the first reduces every node's children and contents
-to counts, the second removes the branches of low importance. With few pages of a host entropy tells nothing, so
-elements whose name, role or class says what they are (navigation, footers, adverts, forms, comments, ...) have
-importance 0 by themselves, and text elements of an article body are never unimportant.
+to counts, the second removes the branches of low importance. Elements whose name or role
+says what they are (navigation, footers, forms, comments, ...) have importance 0 by themselves. With few pages of a host
+entropy tells nothing, so those with such a word in a class or id have none there either, and text elements of an article body are never unimportant.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ comment comments commentlist respond disqus reply replies related recommended re
 #: Elements that hold a page or its article: a class such as "with-sidebar" says nothing about them.
 HOLDERS = frozenset(("html", "body", "main", "article"))
 COMMENT_WORDS = frozenset(("comment", "comments", "reply", "replies"))
+#: Names that begin with these are readers' comments, which differ from page to page as an article does.
+COMMENT_STARTS = COMMENT_WORDS | frozenset(("commentlist", "respond", "disqus"))
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",),
@@ -57,34 +59,40 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    """An open element: its style path, and whether it is boilerplate by name, inside an article, removable there."""
+    """An open element: its style path, and whether it is boilerplate by its name or a class, by its name alone, inside
+    an article, removable there."""
 
-    __slots__ = ("classed", "inside", "name", "noise", "path")
+    __slots__ = ("classed", "inside", "name", "noise", "path", "sure")
 
-    def __init__(self, name: str, path: str, noise: bool, inside: bool, classed: bool):
-        self.name, self.path, self.noise, self.inside, self.classed = name, path, noise, inside, classed
+    def __init__(self, name: str, path: str, noise: bool, sure: bool, inside: bool, classed: bool):
+        self.name, self.path, self.noise, self.sure, self.inside, self.classed = name, path, noise, sure, inside, classed
 
 
-def style_of(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """The style label of an element, and whether its name, role or class marks it as boilerplate."""
+def style_of(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """The style label of an element, whether its name, role or class marks it as boilerplate, and whether that is sure:
+    by more than a word in a class or id, which a wrapper of the article may have too."""
     if not attributes.strip():
-        return name, name in DROPPED or (name == "header" and not inside)
+        sure = name in DROPPED or (name == "header" and not inside)
+        return name, sure, sure
     a = {}
     for k, v in _ATTRIBUTE.findall(attributes):
         a.setdefault(k.lower(), v.strip("\"'"))
     classes = a.get("class", "").split()
-    words = {w.lower() for c in (*classes, a.get("id", "")) for w in _PART.findall(c)}
+    parts = [[w.lower() for w in _PART.findall(c)] for c in (*classes, a.get("id", ""))]
+    words = {w for p in parts for w in p}
     if name in HOLDERS:
-        noise = name == "article" and bool(words & COMMENT_WORDS)
+        noise = sure = name == "article" and bool(words & COMMENT_WORDS)
     else:
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-        noise = name in DROPPED or (name == "header" and not inside) or a.get("role", "").lower() in ROLES or bool(words & NOISE_WORDS) or hidden
-    return name + "".join(f".{c}" for c in sorted(classes)), noise
+        sure = name in DROPPED or (name == "header" and not inside) or a.get("role", "").lower() in ROLES or hidden or any(p and p[0] in COMMENT_STARTS for p in parts)
+        noise = sure or bool(words & NOISE_WORDS)
+    return name + "".join(f".{c}" for c in sorted(classes)), noise, sure
 
 
-def parse(page: str) -> tuple[list[tuple[tuple[Node, ...], str]], bool]:
-    """Text blocks in page order, each with the elements that hold it, and whether the page has an article body."""
-    stack = [Node("", "", False, False, False)]
+def parse(page: str, known: bool = False) -> tuple[list[tuple[tuple[Node, ...], str]], bool]:
+    """Text blocks in page order, each with the elements that hold it, and whether the page has an article body (with
+    ``known``, also one in a branch that is not surely boilerplate)."""
+    stack = [Node("", "", False, False, False, False)]
     out: list[tuple[tuple[Node, ...], str]] = []
     text: list[str] = []
     has_main = False
@@ -149,14 +157,14 @@ def parse(page: str) -> tuple[list[tuple[tuple[Node, ...], str]], bool]:
                 close(SAME_CLOSES[name], SCOPE[name])
             flush()
         top = stack[-1]
-        label, noise = style_of(name, attributes, top.inside)
+        label, noise, sure = style_of(name, attributes, top.inside)
         main = name in ("article", "main") and not noise
         if noise and not top.noise and name in INLINE and text:
             flush()
-        has_main |= main and not top.noise
+        has_main |= main and not (top.sure if known else top.noise)
         if not attributes.rstrip().endswith("/"):
             stack.append(Node(name, top.path + "/" + label if name not in INLINE or "." in label or noise else top.path,
-                              top.noise or noise, top.inside or main, "." in label))
+                              top.noise or noise, top.sure or sure, top.inside or main, "." in label))
     flush()
     return out, has_main
 
@@ -186,21 +194,22 @@ def style_counts(page: str, host: str) -> list[tuple[int, bool, int]]:
     return [*contents, *((node_id(host, p), False, _name("\n".join(c))) for p, c in children.items())]
 
 
-def main_text(page: str | None, host: str, low: frozenset[int] | set[int]) -> str:
-    """The page's main text, without the branches of low importance."""
+def main_text(page: str | None, host: str, low: frozenset[int] | set[int], known_host: bool = False) -> str:
+    """The page's main text, without the branches of low importance. On a known host importance also decides for
+    branches that a class or id marks; elsewhere they go."""
     if not page:
         return ""
-    blocks, has_main = parse(page)
+    blocks, has_main = parse(page, known_host)
     kept: list[str] = []
     known: dict[str, bool] = {}
     spare: list[str] = []
     for holders, s in blocks:
-        if holders[-1].noise or (has_main and not holders[-1].inside):
+        if (holders[-1].sure if known_host else holders[-1].noise) or (has_main and not holders[-1].inside):
             continue
         spare.append(s)
         x = holders[-1]  # a branch goes when all the contents in it do
         gone = False
-        if low and x.path and (not x.inside or any(y.classed and y.inside and y.name not in HOLDERS for y in holders)):
+        if low and x.path and (not x.inside or x.noise or any(y.classed and y.inside and y.name not in HOLDERS for y in holders)):
             gone = known.get(x.path) if x.path in known else known.setdefault(x.path, node_id(host, x.path) in low)
         if not gone:
             kept.append(s)
@@ -263,13 +272,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     score = F.when(F.col("content").isNull(), F.col("own")).otherwise((1 - GAMMA) * F.col("own") + GAMMA * F.col("content"))
     unimportant = Table(scored.filter(score < low).join(hosts, "node").select("host", "node"), "style-low")
     n_low = unimportant.df.limit(max_sent + 1).count()
+    many = Table(one.df.groupBy("_host").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select(F.col("_host").alias("host")), "known-hosts")
+    n_low = max(n_low, many.df.limit(max_sent + 1).count())
 
     def extract(batches: Iterator[pa.RecordBatch], sent=None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 own = part.column(4).to_pylist() if sent is None else None
-                texts = [main_text(page, host, frozenset(own[j] or ()) if sent is None else sent.value) for j, (page, host) in enumerate(
+                texts = [main_text(page, host, frozenset(own[j] or ()) if sent is None else sent.value[0], own[j] is not None if sent is None else host in sent.value[1]) for j, (page, host) in enumerate(
                     zip(part.column(2).to_pylist(), part.column(3).to_pylist()))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
@@ -277,8 +288,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     kind = pages.schema[id_col].dataType.simpleString()
     if n_low <= max_sent:
-        sent = spark.sparkContext.broadcast(frozenset(r[0] for r in unimportant.df.select("node").collect()))
+        sent = spark.sparkContext.broadcast(tuple(frozenset(r[0] for r in d.collect()) for d in (unimportant.df.select("node"), many.df)))
         return rows.mapInArrow(lambda b: extract(b, sent), f"page_id {kind}, url string, text string, n_chars long")
-    by_host = Table(unimportant.df.groupBy("host").agg(F.collect_list("node").alias("low")), "style-by-host")
+    low_nodes = unimportant.df.groupBy("host").agg(F.collect_list("node").alias("low"))
+    # A row for each known host, be its list empty; a node of many pages is on a known host.
+    by_host = Table(many.df.join(low_nodes, "host", "left").select("host", F.coalesce("low", F.array().cast("array<long>")).alias("low")), "style-by-host")
     return rows.join(by_host.df, "host", "left").select("page_id", "url", "html", "host", "low").mapInArrow(
         extract, f"page_id {kind}, url string, text string, n_chars long")

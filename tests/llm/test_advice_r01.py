@@ -53,3 +53,14 @@ def test_elements_without_a_closing_tag():
                  "<div>one two<canvas></div><p>three", "<div>one two<select><option>x</div><p>three", "<p>one <svg><text>x</text></svg>two</p><p>three"):
         assert main_text(page, "", frozenset()) == "one two three", page
     assert main_text("<p>one<script>a <p>b", "", frozenset()) == "one"
+
+
+def test_importance_decides_for_classes_of_known_hosts(spark):
+    wrap = ("<div class='content with-sidebar'><p>Story {0}</p></div>", "<div id=search-results><p>Story {0}</p></div>",
+            "<article><header class='entry-header'><h1>Story {0}</h1></header></article>", "<div class='content with-sidebar'><article>Story {0}</article></div>")
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", w.format(i) + "<div class=sidebar><p>Links</p></div><div class='comment-list'>hi {0}</div>".format(i)) for h, w in enumerate(wrap) for i in range(12)]
+    rows.append((900, "http://few.example/1", "<div class=sidebar><p>Links</p></div><p>alone</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (200_000, 0):
+        got = {r.page_id: r.text for r in extract_main_text(pages, max_sent=most).collect()}
+        assert got == {100 * h + i: f"Story {i}" for h in range(4) for i in range(12)} | {900: "alone"}
