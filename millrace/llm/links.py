@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table
 
-MAX_ROUNDS = 40
+#: Rounds of stars at most: they grow with the logarithm of the longest chain, so that more mean that something is wrong.
+MAX_ROUNDS = 100
+#: Rounds in which buckets are compared with one of their members, and members of a slice where the rest is compared in pairs.
+STAR_ROUNDS, SLICE = 4, 1000
+#: Signatures that several nodes have are sent to all tasks up to this many; more are joined.
+MAX_SENT = 1_000_000
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -55,6 +60,8 @@ def components(edges: DataFrame) -> Table:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     out = Table(now.df.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.df.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct(), "components")
     now.drop()
     return out
@@ -81,65 +88,88 @@ def in_blocks(groups: DataFrame, weight: str, most: int, heaviest: int) -> DataF
     return rows.select(*groups.columns, F.least("_b", "_m").alias("i"), F.greatest("_b", "_m").alias("j"))
 
 
-def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame] | None = None,
-            near: Callable[[Column, Column], Column] | None = None) -> Table:
+def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame]) -> Table:
     """``node, label`` of the graph of verified links among nodes that share a signature.
 
     ``rows``: ``sig, node`` (longs), evaluated twice; ``verify``: given distinct pairs ``a, b`` of nodes, those that link.
-    All pairs that share a signature are verified, but for pairs already connected through verified links. Nodes
-    without links are left out. With ``compare``, the groups that the stars leave in several components are not
-    spelled out as pairs: it gets ``head, node, label`` (a bucket's head with all members of the buckets it heads) and
-    returns links ``a, b`` that connect what is linked between components. With ``near``, rows have a column ``info`` (a
-    long that depends on the node only) and pairs whose infos are not near are left out before they are verified.
+    A bucket's members are verified against its head; the groups that these stars leave in several components are not
+    spelled out as pairs: ``compare`` gets ``head, node, label`` (a bucket's head with all members of the buckets it heads)
+    and returns links ``a, b`` that connect what is linked between components. Nodes without links are left out.
     """
     shared = Table(rows.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select(F.col("sig").alias("s"), "head"), "shared-signatures")
-    if compare is not None:
-        stars = Table(rows.join(shared.df, F.col("sig") == F.col("s")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-        shared.drop()
-        linked = Table(verify(stars.df).select("a", "b"), "star-links")
-        labels = components(linked.df)
-        both = stars.df.select(F.col("a").alias("head"), F.col("b").alias("node")).union(stars.df.select("a", "a").distinct())
-        own = Table(both.join(labels.df.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
-            "head", "node", F.coalesce("label", "node").alias("label")), "labelled-members")
-        mixed = Table(own.df.groupBy(F.col("head").alias("h")).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h"), "mixed-heads")
-        if mixed.df.limit(1).count():
-            extra = Table(compare(own.df.join(mixed.df, F.col("head") == F.col("h"), "left_semi")).select("a", "b"), "mixed-links")
-            labels.drop()
-            labels = components(linked.df.union(extra.df))
-            extra.drop()
-        for t in (stars, linked, own, mixed):
-            t.drop()
-        return labels
-    info = ["info"] if near else []
-    members = Table(rows.join(shared.df, F.col("sig") == F.col("s"), "left_semi").select("sig", "node", *info).distinct(), "bucket-members")
-    heads = members.df.join(shared.df, (F.col("sig") == F.col("s")) & (F.col("node") == F.col("head"))).select("s", "head", *[F.col(c).alias(f"h{c}") for c in info])
-    stars = members.df.join(heads, (F.col("sig") == F.col("s")) & (F.col("node") != F.col("head")) & (near(F.col("info"), F.col("hinfo")) if near else F.lit(True)))
-    stars = Table(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+    stars = Table(rows.join(shared.df, F.col("sig") == F.col("s")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+    shared.drop()
     linked = Table(verify(stars.df).select("a", "b"), "star-links")
     labels = components(linked.df)
+    both = stars.df.select(F.col("a").alias("head"), F.col("b").alias("node")).union(stars.df.select("a", "a").distinct())
+    own = Table(both.join(labels.df.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
+        "head", "node", F.coalesce("label", "node").alias("label")), "labelled-members")
+    mixed = Table(own.df.groupBy(F.col("head").alias("h")).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h"), "mixed-heads")
+    if mixed.df.limit(1).count():
+        extra = Table(compare(own.df.join(mixed.df, F.col("head") == F.col("h"), "left_semi")).select("a", "b"), "mixed-links")
+        labels.drop()
+        labels = components(linked.df.union(extra.df))
+        extra.drop()
+    for t in (stars, linked, own, mixed):
+        t.drop()
+    return labels
 
-    # Buckets whose members are not all in one component yet.
-    own = members.df.join(labels.df.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
-        "sig", "node", F.coalesce("label", "node").alias("label"), *info)
-    own = Table(own, "labelled-members")
-    members.drop()
-    mixed = Table(own.df.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(F.col("sig").alias("s")), "mixed-buckets")
+
+def connect_stars(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Table:
+    """``node, label`` of the graph of verified links among nodes that share a signature, JVM-side only.
+
+    ``rows``: ``sig, node, n`` (longs), each node once a signature; n: how frequent a node is; ``verify``: given distinct
+    pairs ``a, b`` of nodes, those that link. Buckets compare all members with their most frequent one, which most near
+    copies are close to; that one leaves the bucket, and the next round does the same wherever members are still in
+    different components. A round costs as many pairs as the buckets have members. What STAR_ROUNDS leave over is compared
+    pair by pair between components, in slices of a bucket, so all pairs are verified but those already connected.
+    """
+    shared = Table(rows.groupBy(F.col("sig").alias("s")).agg(F.count("*").alias("c")).filter("c > 1").select("s"), "shared-signatures")
+    few = shared.df.limit(MAX_SENT + 1).count() <= MAX_SENT
+    own = Table(rows.join(F.broadcast(shared.df) if few else shared.df, F.col("sig") == F.col("s"), "left_semi").select("sig", "node", "n", F.col("node").alias("label")), "bucket-members")
     shared.drop()
-    rest = own.df.join(mixed.df, F.col("sig") == F.col("s"), "left_semi")
-    left, right = (rest.select(F.col("sig").alias(f"s{k}"), F.col("node").alias(k), F.col("label").alias(f"l{k}"), *[F.col(c).alias(f"i{k}") for c in info]) for k in "ab")
-    pairs = left.join(right, (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (near(F.col("ia"), F.col("ib")) if near else F.lit(True)))
-    pairs = pairs.select("a", "b").distinct()
-    tried = stars.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = Table(pairs.join(tried, ["a", "b"], "left_anti"), "mixed-pairs")
-    own.drop()
-    mixed.drop()
-    stars.drop()
-    if more.df.limit(1).count():
-        extra = Table(verify(more.df).select("a", "b"), "mixed-links")
-        if extra.df.limit(1).count():
+    links: list[Table] = []
+    tried: list[Table] = []
+    labels: Table | None = None
+    for turn in range(STAR_ROUNDS + 1):
+        last = turn == STAR_ROUNDS
+        # The most frequent, ties by id: one number that orders the members of a bucket.
+        order = F.shiftleft(F.least(F.col("n"), F.lit((1 << 20) - 1)), 43) + F.col("node").bitwiseAND((1 << 43) - 1)
+        heads = own.df.groupBy(F.col("sig").alias("s")).agg(
+            F.max_by("node", order).alias("head"), F.max_by("label", order).alias("home"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"))
+        heads = Table(heads.filter("x <> y").select("s", "head", "home", "c"), "bucket-heads")
+        if not heads.df.limit(1).count():
+            heads.drop()
+            break
+        mixed = own.df.join(heads.df, F.col("sig") == F.col("s"))
+        if last:
+            slices = F.ceil(F.col("c") / F.lit(SLICE)).cast("int")
+            left = mixed.select("sig", F.col("node").alias("a"), F.col("label").alias("la"), F.pmod(F.xxhash64("node", F.lit(8)), slices).cast("int").alias("i"))
+            right = mixed.select(F.col("sig").alias("sb"), F.col("node").alias("b"), F.col("label").alias("lb"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("j"))
+            pairs = left.join(right, (F.col("sig") == F.col("sb")) & (F.col("i") == F.col("j")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
+        else:
+            pairs = mixed.filter("label <> home").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+        pairs = pairs.select("a", "b").distinct()
+        for t in tried:
+            pairs = pairs.join(t.df, ["a", "b"], "left_anti")
+        tried.append(Table(pairs, "star-pairs"))
+        links.append(Table(verify(tried[-1].df).select("a", "b"), "star-links"))
+        if labels is not None:
             labels.drop()
-            labels = components(linked.df.union(extra.df))
-        extra.drop()
-    more.drop()
-    linked.drop()
-    return labels
+        every = links[0].df
+        for t in links[1:]:
+            every = every.union(t.df)
+        labels = components(every)
+        if not last:
+            rest = mixed.filter("node <> head").select("sig", "node", "n").join(labels.df.select(F.col("node").alias("k"), "label"), F.col("node") == F.col("k"), "left").select(
+                "sig", "node", "n", F.coalesce("label", "node").alias("label"))
+            new = Table(rest, "bucket-members")
+            own.drop()
+            own = new
+        heads.drop()
+        if last:
+            break
+    own.drop()
+    for t in (*tried, *links):
+        t.drop()
+    return labels if labels is not None else components(rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
