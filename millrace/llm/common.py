@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,10 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or, where it is unset, a fresh
-    temporary folder (single-machine use, as in tests)."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or, where it is unset and Spark runs in one
+    process (as in tests), a fresh temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
@@ -65,29 +68,6 @@ class Table:
         fs.delete(p, True)
 
 
-class BucketedTable:
-    """A DataFrame written once as Parquet in the shared folder, dealt into buckets by a column: grouping and joining by
-    that column reads it without an exchange. ``drop()`` deletes it; the catalog holds its schema until then."""
-
-    def __init__(self, df: DataFrame, name: str, column: str):
-        self.spark = df.sparkSession
-        self.path = new_table_path(self.spark, name)
-        self.name = "millrace_" + self.path.rsplit("-", 1)[1]
-        old = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df.write.format("parquet").bucketBy(n, column).option("path", self.path).saveAsTable(self.name)
-        finally:
-            self.spark.conf.set(CLEANUP, old)
-        self.df = self.spark.table(self.name)
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        fs, p = hadoop_path(self.spark, self.path)
-        fs.delete(p, True)
-
-
 def prepare(spark: SparkSession) -> None:
     """Before Python code runs on executors: ship the package, and keep Arrow batches of whole texts small (the session's
     limit of rows a batch is lowered to MAX_BATCH_ROWS; it changes no result)."""

@@ -17,7 +17,7 @@ from .common import Table
 #: Rounds of stars at most: they grow with the logarithm of the longest chain, so that more mean that something is wrong.
 MAX_ROUNDS = 100
 #: Rounds in which buckets are compared with one of their members, and members of a slice where the rest is compared in pairs.
-STAR_ROUNDS, SLICE = 4, 1000
+STAR_ROUNDS, SLICE = 3, 1000
 #: Signatures that several nodes have are sent to all tasks up to this many; more are joined.
 MAX_SENT = 1_000_000
 
@@ -115,20 +115,38 @@ def connect(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], compare:
     return labels
 
 
-def connect_stars(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Table:
+def more_components(labels: Table, edges: DataFrame) -> Table:
+    """The components ``labels`` (``node, label``) after further edges ``a, b``: only the graph of the labels is gone through."""
+    label = lambda k: labels.df.select(F.col("node").alias(f"n{k}"), F.col("label").alias(f"l{k}"))
+    between = edges.join(label("a"), F.col("a") == F.col("na"), "left").join(label("b"), F.col("b") == F.col("nb"), "left").select(
+        "a", "b", F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
+    between = Table(between, "label-edges")
+    joined = components(between.df.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    every = labels.df.union(between.df.select("a", "x")).union(between.df.select("b", "y")).distinct()
+    out = Table(every.join(joined.df.select(F.col("node").alias("k"), F.col("label").alias("to")), F.col("label") == F.col("k"), "left").select(
+        "node", F.coalesce("to", "label").alias("label")), "components")
+    for t in (labels, between, joined):
+        t.drop()
+    return out
+
+
+def connect_stars(rows: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> Table:
     """``node, label`` of the graph of verified links among nodes that share a signature, JVM-side only.
 
-    ``rows``: ``sig, node, n`` (longs), each node once a signature; n: how frequent a node is; ``verify``: given distinct
-    pairs ``a, b`` of nodes, those that link. Buckets compare all members with their most frequent one, which most near
-    copies are close to; that one leaves the bucket, and the next round does the same wherever members are still in
-    different components. A round costs as many pairs as the buckets have members. What STAR_ROUNDS leave over is compared
-    pair by pair between components, in slices of a bucket, so all pairs are verified but those already connected.
+    ``rows``: ``sig, node`` (longs), as often as the node occurs; ``verifier``: given the buckets' members (``sig, node``),
+    returns what tells, of distinct pairs ``a, b`` of their nodes, those that link. Buckets compare all members with
+    their most frequent one, which most near copies are close to; that one leaves the bucket, and the next round does the
+    same wherever members are still in different components. A round costs as many pairs as the buckets have members.
+    What STAR_ROUNDS leave over is compared pair by pair between components, in slices of a bucket, so all pairs are
+    verified but those already connected.
     """
-    shared = Table(rows.groupBy(F.col("sig").alias("s")).agg(F.count("*").alias("c")).filter("c > 1").select("s"), "shared-signatures")
+    shared = Table(rows.groupBy(F.col("sig").alias("s")).agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("s"), "shared-signatures")
     few = shared.df.limit(MAX_SENT + 1).count() <= MAX_SENT
-    own = Table(rows.join(F.broadcast(shared.df) if few else shared.df, F.col("sig") == F.col("s"), "left_semi").select("sig", "node", "n", F.col("node").alias("label")), "bucket-members")
+    own = rows.join(F.broadcast(shared.df) if few else shared.df, F.col("sig") == F.col("s"), "left_semi").groupBy("sig", "node").agg(F.count("*").alias("n"))
+    own = Table(own.withColumn("label", F.col("node")), "bucket-members")
     shared.drop()
-    links: list[Table] = []
+    first = own
+    verify = verifier(first.df.select("sig", "node"))
     tried: list[Table] = []
     labels: Table | None = None
     for turn in range(STAR_ROUNDS + 1):
@@ -153,23 +171,17 @@ def connect_stars(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
         for t in tried:
             pairs = pairs.join(t.df, ["a", "b"], "left_anti")
         tried.append(Table(pairs, "star-pairs"))
-        links.append(Table(verify(tried[-1].df).select("a", "b"), "star-links"))
-        if labels is not None:
-            labels.drop()
-        every = links[0].df
-        for t in links[1:]:
-            every = every.union(t.df)
-        labels = components(every)
+        linked = Table(verify(tried[-1].df), "star-links")
+        labels = components(linked.df) if labels is None else more_components(labels, linked.df)
+        linked.drop()
         if not last:
             rest = mixed.filter("node <> head").select("sig", "node", "n").join(labels.df.select(F.col("node").alias("k"), "label"), F.col("node") == F.col("k"), "left").select(
                 "sig", "node", "n", F.coalesce("label", "node").alias("label"))
             new = Table(rest, "bucket-members")
-            own.drop()
+            if own is not first:
+                own.drop()
             own = new
         heads.drop()
-        if last:
-            break
-    own.drop()
-    for t in (*tried, *links):
+    for t in (first, own, *tried):
         t.drop()
     return labels if labels is not None else components(rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
