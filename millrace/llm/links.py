@@ -8,6 +8,7 @@ different components.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,8 +169,8 @@ def connect_stars(rows: DataFrame, verifier: Callable[[DataFrame], Callable[[Dat
         else:
             pairs = mixed.filter("label <> home").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
         pairs = pairs.select("a", "b").distinct()
-        for t in tried:
-            pairs = pairs.join(t.df, ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.union, [t.df for t in tried]), ["a", "b"], "left_anti")
         tried.append(Table(pairs, "star-pairs"))
         linked = Table(verify(tried[-1].df), "star-links")
         labels = components(linked.df) if labels is None else more_components(labels, linked.df)
