@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of FNV-1a: the offset basis by halves; the prime is 2**40 + 0x1b3.
@@ -10,25 +10,23 @@ BASIS_HIGH, BASIS_LOW, PRIME_LOW = 0xCBF29CE4, 0x84222325, 0x1B3
 _HALF = (1 << 32) - 1
 
 
-def _halves(data: Column) -> Column:
-    """``struct(high, low)`` after all numbers (0 to 255) of an array."""
-    start = F.struct(F.lit(BASIS_HIGH).cast("long").alias("high"), F.lit(BASIS_LOW).cast("long").alias("low"))
+def _step(high: Column, low: Column, byte: Column) -> tuple[Column, Column]:
+    """Both halves after one more byte (0 to 255, as a long)."""
+    low = low.bitwiseXOR(byte)
+    product = low * PRIME_LOW
+    return (high * PRIME_LOW + F.shiftrightunsigned(product, 32) + F.shiftleft(low, 8)).bitwiseAND(F.lit(_HALF)), product.bitwiseAND(F.lit(_HALF))
 
-    def step(h: Column, b: Column) -> Column:
-        low = h["low"].bitwiseXOR(b.cast("long"))
-        product = low * PRIME_LOW
-        high = (h["high"] * PRIME_LOW + F.shiftrightunsigned(product, 32) + F.shiftleft(low, 8)).bitwiseAND(F.lit(_HALF))
-        return F.struct(high.alias("high"), product.bitwiseAND(F.lit(_HALF)).alias("low"))
 
-    return F.aggregate(data, start, step)
+def _of_string(c: Column) -> Column:
+    """``struct(high, low)`` of the UTF-8 bytes of a string, each taken as a character of its own."""
+    start = F.struct(F.lit(BASIS_HIGH).cast("long").alias("high"), F.lit(BASIS_LOW).cast("long").alias("low"))
+    single = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
 
+    def step(h: Column, ch: Column) -> Column:
+        high, low = _step(h["high"], h["low"], F.ascii(ch).cast("long"))
+        return F.struct(high.alias("high"), low.alias("low"))
 
-def bytes_of_string(c: Column) -> Column:
-    """UTF-8 bytes as numbers."""
-    h = F.hex(F.encode(c, "UTF-8"))
-    n = F.length(h) / 2
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(
-        F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    return F.aggregate(F.when(F.length(single) > 0, F.split(single, "")).otherwise(F.array().cast("array<string>")), start, step)
 
 
 def bytes_of_long(c: Column) -> Column:
@@ -51,13 +49,23 @@ def bytes_of_double(c: Column) -> Column:
     return bytes_of_long(F.when(negative, bits.bitwiseOR(F.lit(-(1 << 63)))).otherwise(bits))
 
 
-def fnv1a_mod(c: Column, kind: str, n: int) -> Column:
-    """FNV-1a of a key modulo ``n``: strings by their bytes, numbers by eight bytes, anything else by its text."""
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        data = bytes_of_long(c)
-    elif kind in ("float", "double"):
-        data = bytes_of_double(c.cast("double"))
+def with_fnv1a_mod(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """``df`` with FNV-1a of a key modulo ``n`` (null for a null key): strings by their bytes, numbers by eight bytes, anything
+    else by its text. A number's bytes are taken one projection each, all of them in one piece of generated code."""
+    kind, c = df.schema[key].dataType.simpleString(), F.col(f"`{key}`")
+    high, low = f"_{name}_high", f"_{name}_low"
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        data = f"_{name}_bytes"
+        out = df.withColumns({data: bytes_of_double(c.cast("double")) if kind in ("float", "double") else c.cast("long"),
+                              high: F.lit(BASIS_HIGH).cast("long"), low: F.lit(BASIS_LOW).cast("long")})
+        for i in range(8):
+            byte = F.get(data, F.lit(i)).cast("long") if kind in ("float", "double") else F.shiftrightunsigned(data, 8 * i).bitwiseAND(F.lit(255))
+            h, w = _step(F.col(high), F.col(low), byte)
+            out = out.withColumns({high: h, low: w})
+        out = out.drop(data)
     else:
-        data = bytes_of_string(c.cast("string"))
-    h = _halves(data)
-    return (((h["high"] % n) * ((1 << 32) % n) + h["low"] % n) % n).cast("int")
+        hashed = f"_{name}_hash"
+        out = df.withColumn(hashed, _of_string(c.cast("string")))
+        out = out.withColumns({high: F.col(hashed)["high"], low: F.col(hashed)["low"]}).drop(hashed)
+    value = (((F.col(high) % n) * ((1 << 32) % n) + F.col(low) % n) % n).cast("int")
+    return out.withColumn(name, F.when(c.isNotNull(), value)).drop(high, low)

@@ -1,14 +1,17 @@
 """Greedy sequential state, for what window functions can't express: each decision depends on the last accepted row.
 
 Rows are dealt by key and sorted in their partition; one pass over Arrow batches carries a small state from row to
-row. Nothing is collected: memory does not depend on how many rows a key has.
+row. Nothing is collected: memory does not depend on how many rows a key has. Where a decision depends on the time and
+number of rows since the last accepted one only, ``segmented`` jumps from one to the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,7 +29,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[
     ship_package(spark)
     own = StructType.fromDDL(out)
     schema = StructType([*df.schema.fields, *own.fields])
-    dealt = df.repartition(*[F.col(k) for k in keys]) if keys else df.coalesce(1)
+    dealt = df.repartition(*[F.col(k) for k in keys]) if keys else df.repartition(1)
     dealt = dealt.sortWithinPartitions(*keys, *order)
     width = len(own)
 
@@ -51,3 +54,61 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
     return dealt.mapInArrow(run, schema)
+
+
+def segment_starts(us: np.ndarray, wait: int, size: int, number: int, count: int, first: int) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """Places that start a segment among ordered times, given the open segment (its number from 1, rows so far and first
+    time; number 0: none), and the open segment afterwards. A segment ends at ``size`` rows (0: no limit) or before a row
+    that is ``wait`` after its first (0: never)."""
+    at, n, starts = 0, len(us), []
+    if not number:
+        starts.append(0)
+        number, count, first = 1, 0, int(us[0])
+    while True:
+        end = n if not wait else int(np.searchsorted(us, first + wait, "left"))
+        if size:
+            end = min(end, at + size - count)
+        end = max(end, at)
+        if end >= n:
+            return np.array(starts, np.int64), (number, count + n - at, first)
+        starts.append(end)
+        at, number, count, first = end, number + 1, 0, int(us[end])
+
+
+def segmented(df: DataFrame, keys: list[str], order: list[str], us: str, wait: int, size: int, active: str) -> DataFrame:
+    """``df`` with ``_segment`` (from 1, of each key) and ``_starts`` (whether the row starts it) of the rows where ``active``
+    holds, in the order of each key; others have nulls. Without keys all rows form one sequence, in one task."""
+    ship_package(df.sparkSession)
+    dealt = (df.repartition(*[F.col(k) for k in keys]) if keys else df.repartition(1)).sortWithinPartitions(*keys, *order)
+    schema = StructType([*df.schema.fields, *StructType.fromDDL("_segment bigint, _starts boolean").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, (0, 0, 0)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            new = np.zeros(n, bool)
+            for k in keys:
+                code = np.asarray(pc.fill_null(col(k).dictionary_encode().indices, -1))
+                new[1:] |= code[1:] != code[:-1]
+            key = tuple(col(k)[0].as_py() for k in keys)
+            on = np.asarray(col(active).fill_null(False))
+            times = np.asarray(col(us).fill_null(0))
+            segment, starts = np.zeros(n, np.int64), np.zeros(n, bool)
+            bounds = [0, *np.flatnonzero(new).tolist(), n]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if a or key != at:
+                    state = (0, 0, 0)
+                rows = a + np.flatnonzero(on[a:b])
+                if len(rows):
+                    begin, after = segment_starts(times[rows], wait, size, *state)
+                    mark = np.zeros(len(rows), bool)
+                    mark[begin] = True
+                    starts[rows], segment[rows] = mark, state[0] + np.cumsum(mark)
+                    state = after
+            at = tuple(col(k)[n - 1].as_py() for k in keys)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segment, mask=~on), pa.array(starts, mask=~on)], names=[f.name for f in schema])
+
+    return dealt.mapInArrow(run, schema)

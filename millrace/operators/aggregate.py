@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +24,35 @@ def by_count(df: DataFrame, size: int, aggregates: dict[str, Column], keys: list
     return rows.groupBy(*keys, "emission").agg(*_bounds(), *[a.alias(k) for k, a in aggregates.items()])
 
 
+def fold_by_count(df: DataFrame, size: int, init: Column, fn: Callable[[Column, Column], Column], columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """An emission after every ``size`` successes with the state of a fold: ``fn`` gets the state (``init`` at first) and a
+    success, a struct of ``columns``, in arrival order, and returns the state. Windows are bounded by their size."""
+    keys = keys or []
+    rows = number_successes(df.filter(is_success()), keys).withColumn("emission", F.floor((F.col("_n") - 1) / size))
+    out = rows.groupBy(*keys, "emission").agg(*_bounds(), F.sort_array(F.collect_list(F.struct(TS, SEQ, *columns))).alias("_items"))
+    return out.withColumn("state", F.aggregate("_items", init, fn)).drop("_items")
+
+
 def by_time(df: DataFrame, size: int, aggregates: dict[str, Column], keys: list[str] | None = None, empty: bool = False) -> DataFrame:
     """Successes by time windows of ``size`` microseconds: bounds, count and aggregates. With ``empty``, windows between
-    the first and the last that hold nothing are there too (only without keys)."""
-    us = micros(F.col(TS))
+    the first and the last (of a key) that hold nothing are there too."""
+    us, keys = micros(F.col(TS)), keys or []
     rows = df.filter(is_success()).withColumn("_w", us - F.pmod(us, F.lit(size)))
-    out = rows.groupBy(*(keys or []), "_w").agg(F.count("*").alias("n"), *[a.alias(k) for k, a in aggregates.items()])
+    out = rows.groupBy(*keys, "_w").agg(F.count("*").alias("n"), *[a.alias(k) for k, a in aggregates.items()])
     if empty:
-        spine = rows.agg(F.min("_w").alias("a"), F.max("_w").alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b", F.lit(size))).alias("_w"))
-        out = spine.join(out, "_w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select(*(keys or []), from_micros(F.col("_w")).alias("start_ts"), from_micros(F.col("_w") + size).alias("end_ts"), "n", *aggregates)
+        # The window after, of each key; from one to the next all are there. A row a window, not one for each success.
+        order = Window.partitionBy(*keys).orderBy("_w")
+        bounds = out.groupBy(*keys).agg(F.min("_w").alias("_a"), F.max("_w").alias("_b")).filter("_a is not null")
+        spine = bounds.select(*keys, F.explode(F.sequence("_a", "_b", F.lit(size))).alias("_w"))
+        if keys:
+            after = F.coalesce(F.lead("_w").over(order), F.col("_w") + size)
+            filled = out.withColumn("_all", F.sequence("_w", after - size, F.lit(size)))
+            out = filled.select(*keys, F.col("_w").alias("_own"), "n", *aggregates, F.explode("_all").alias("_w"))
+            there = F.col("_own") == F.col("_w")
+            out = out.select(*keys, "_w", F.when(there, F.col("n")).otherwise(0).alias("n"), *[F.when(there, F.col(k)).alias(k) for k in aggregates])
+        else:
+            out = spine.join(out, "_w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select(*keys, from_micros(F.col("_w")).alias("start_ts"), from_micros(F.col("_w") + size).alias("end_ts"), "n", *aggregates)
 
 
 def by_either(df: DataFrame, size: int, latency: int, aggregates: dict[str, Column], keys: list[str]) -> DataFrame:

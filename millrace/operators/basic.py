@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.envelope import ERR, META, SEQ, TS, error_struct, is_error, is_success, no_metadata, payload
-from millrace.functions.fnv import fnv1a_mod
+from millrace.functions.fnv import with_fnv1a_mod
 from millrace.functions.shipping import ship_package
 
 
@@ -103,8 +103,8 @@ def sample(df: DataFrame, rate: float, seed: int | None = None) -> DataFrame:
 
 def sample_by_key(df: DataFrame, rate: float, key: str) -> DataFrame:
     """A reproducible sample of successes: those whose key falls into ``rate`` of 1000 hash buckets; errors pass."""
-    bucket = fnv1a_mod(F.col(key), df.schema[key].dataType.simpleString(), 1000)
-    return df.filter(is_error() | (bucket < round(_rate(rate) * 1000)))
+    rows = with_fnv1a_mod(df, key, 1000, "_bucket")
+    return rows.filter(is_error() | (F.col("_bucket") < round(_rate(rate) * 1000))).drop("_bucket")
 
 
 def buffer(df: DataFrame, size: int = 0, persist: bool = False) -> DataFrame:

@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.envelope import ERR, SEQ, TS, is_error, is_success, micros
-from millrace.functions.fold import ordered_fold
+from millrace.functions.fold import ordered_fold, segmented
 from millrace.functions.ordering import numbered
 
 
+#: Rows that a sorted limit keeps in each task, at most.
+MAX_TOP = 1_000_000
+#: Lifetime of a key that dedupe forgets it after, where none is given as such (a fixed value of the documented interface).
+DEFAULT_TTL = 3_600_000_000
+
+
 def number_successes(df: DataFrame, keys: list[str], name: str = "_n") -> DataFrame:
     """Successes numbered from 1 in arrival order: of each key, or of all rows without a global task."""
     if not keys:
@@ -38,7 +44,7 @@ def batch(df: DataFrame, max_size: int, latency: int = 0, keys: list[str] | None
         n = number_successes(df, keys)
         return n.withColumn("batch_id", F.floor((F.col("_n") - 1) / size) + 1).drop("_n")
     rows = df.withColumns({"_us": micros(F.col(TS)), "_on": is_success()})
-    return ordered_fold(rows, keys, [TS, SEQ], ["_us"], batch_step(size, latency), "batch_id bigint", active="_on").drop("_us", "_on")
+    return segmented(rows, keys, [TS, SEQ], "_us", latency, size, "_on").withColumnRenamed("_segment", "batch_id").drop("_us", "_on", "_starts")
 
 
 def collect_batches(df: DataFrame, columns: list[str], keys: list[str] | None = None, batch: str = "batch_id") -> DataFrame:
@@ -81,8 +87,8 @@ def throttle(df: DataFrame, duration: int, keys: list[str] | None = None) -> Dat
     if duration <= 0:
         return df
     rows = df.withColumns({"_us": micros(F.col(TS)), "_on": is_success()})
-    out = ordered_fold(rows, keys or [], [TS, SEQ], ["_us"], throttle_step(duration), "_keep boolean", active="_on")
-    return out.filter(is_error() | F.col("_keep")).drop("_us", "_on", "_keep")
+    out = segmented(rows, keys or [], [TS, SEQ], "_us", duration, 0, "_on")
+    return out.filter(is_error() | F.col("_starts")).drop("_us", "_on", "_segment", "_starts")
 
 
 def bucket_step(interval: int, burst: int):
@@ -115,13 +121,13 @@ def debounce(df: DataFrame, duration: int, keys: list[str] | None = None) -> Dat
     return out.drop("_good", "_us", "_next")
 
 
-def dedupe(df: DataFrame, keys: list[str], ttl: int | None = None) -> DataFrame:
-    """The first success of each key, or with ``ttl`` (microseconds) each one that comes that long after the last one
-    let through. Errors pass."""
+def dedupe(df: DataFrame, keys: list[str], ttl: int | None = DEFAULT_TTL) -> DataFrame:
+    """The successes of each key that come ``ttl`` microseconds or more after the last one let through; without one
+    (None), the first of each key. Errors pass."""
     if ttl is not None:
         return throttle(df, ttl, keys)
-    w = Window.partitionBy(*keys).orderBy(TS, SEQ)
-    kept = df.filter(is_success()).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    # Summed in each task before the exchange: a frequent key sends one row of each.
+    kept = df.filter(is_success()).groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(TS, SEQ)).alias("_row")).select("_row.*")
     return kept.unionByName(df.filter(is_error()))
 
 
@@ -131,14 +137,22 @@ def take(df: DataFrame, n: int) -> DataFrame:
 
 
 def skip(df: DataFrame, n: int) -> DataFrame:
-    """Successes but the first ``n``; errors pass uncounted."""
-    return number_successes(df, []).filter(is_error() | (F.col("_n") > n)).drop("_n")
+    """Successes but the first ``n``; errors pass uncounted. The last one skipped is found by a top-n; beyond MAX_TOP the
+    rows are numbered instead."""
+    if n <= 0:
+        return df
+    if n > MAX_TOP:
+        return number_successes(df, []).filter(is_error() | (F.col("_n") > n)).drop("_n")
+    last = df.filter(is_success()).select(TS, SEQ).orderBy(TS, SEQ).limit(n).agg(F.max(F.struct(TS, SEQ)).alias("_last"))
+    return df.join(F.broadcast(last), F.lit(True)).filter(is_error() | (F.struct(TS, SEQ) > F.col("_last"))).drop("_last")  # one row
 
 
 def paginate(df: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Successes ``offset`` to ``offset + limit``; errors pass."""
-    n = number_successes(df, [])
-    return n.filter(is_error() | ((F.col("_n") > offset) & (F.col("_n") <= offset + limit))).drop("_n")
+    """Successes ``offset`` to ``offset + limit``; errors pass. A page is a top-n; beyond MAX_TOP the rows are numbered."""
+    if offset + limit > MAX_TOP:
+        n = number_successes(df, [])
+        return n.filter(is_error() | ((F.col("_n") > offset) & (F.col("_n") <= offset + limit))).drop("_n")
+    return df.filter(is_success()).orderBy(TS, SEQ).offset(max(0, offset)).limit(max(0, limit)).unionByName(df.filter(is_error()))
 
 
 def dropping_buffer(df: DataFrame, size: int, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.envelope import (
     ERR, META, PARTITION_INDEX, PARTITION_STRATEGY, PARTITION_TOTAL, PROCESSOR, ROUTE, TIMESTAMP, TS, error_struct, is_error, is_success, payload, with_metadata)
-from millrace.functions.fnv import fnv1a_mod
+from millrace.functions.fnv import with_fnv1a_mod
 
 from .flow import number_successes
 
@@ -53,8 +53,8 @@ def partition_hash(df: DataFrame, key: str, n: int, name: str = "partition") ->
     """``partition_index`` = FNV-1a of the key modulo ``n`` for successes, 0 for errors. Keys of types other than string,
     int and long are labelled as a custom strategy."""
     kind = df.schema[key].dataType.simpleString()
-    index = F.coalesce(fnv1a_mod(F.col(key), kind, _count(n)), F.lit(0))
-    return _partitioned(df, index, n, "hash" if kind in ("string", "int", "bigint") else "custom", name)
+    rows = with_fnv1a_mod(df, key, _count(n), "_fnv")
+    return _partitioned(rows, F.coalesce("_fnv", F.lit(0)), n, "hash" if kind in ("string", "int", "bigint") else "custom", name).drop("_fnv")
 
 
 def partition_round_robin(df: DataFrame, n: int, name: str = "partition") -> DataFrame:
@@ -74,6 +74,17 @@ def partition_stats(df: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("t"))), F.lit(True)).select(PARTITION_INDEX, "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
+def partition_balance(df: DataFrame, n: int) -> DataFrame:
+    """One row: mean and deviation of the rows of ``n`` partitions, empty ones included, and their ratio (0: even)."""
+    own = [F.count_if(F.col(PARTITION_INDEX) == i).cast("double").alias(f"c{i}") for i in range(_count(n))]
+    sizes = df.agg(*own).select(F.array(*[F.col(f"c{i}") for i in range(n)]).alias("sizes"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    mean = total(F.col("sizes")) / n
+    out = sizes.withColumn("mean", mean)
+    out = out.withColumn("deviation", F.sqrt(total(F.transform("sizes", lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / n))
+    return out.select(F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), F.round(F.when(F.col("mean") > 0, F.col("deviation") / F.col("mean")), 6).alias("balance"))
+
+
 class Switch:
     """Routes successes by a key expression to the routes added; errors have a channel of their own."""
 

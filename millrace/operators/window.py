@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.envelope import (
-    SEQ, SESSION_KEY, TS, WINDOW_END, WINDOW_GAP, WINDOW_SIZE, WINDOW_SLIDE, WINDOW_START, WINDOW_TYPE, from_micros, is_error, is_success, micros)
+    ERR, SEQ, SESSION_KEY, TS, WINDOW_END, WINDOW_GAP, WINDOW_SIZE, WINDOW_SLIDE, WINDOW_START, WINDOW_TYPE, from_micros, is_error, is_success, micros)
 
 
 def _marked(df: DataFrame, start: Column, end: Column, kind: str, size: int, slide: Column | None = None, gap: Column | None = None, key: Column | None = None) -> DataFrame:
@@ -97,3 +97,9 @@ def collect_values(df: DataFrame, c: str) -> DataFrame:
     """The successes' values of each window as an array in arrival order. For windows of bounded size."""
     pairs = F.sort_array(F.collect_list(F.when(is_success(), F.struct(TS, SEQ, F.col(c).alias("v")))))
     return df.groupBy(WINDOW_START, WINDOW_END).agg(F.transform(pairs, lambda x: x["v"]).alias("items"))
+
+
+def collect_errors(df: DataFrame) -> DataFrame:
+    """The errors of each window as an array of error structs in arrival order. For windows of bounded size."""
+    pairs = F.sort_array(F.collect_list(F.when(is_error(), F.struct(TS, SEQ, F.col(ERR).alias("e")))))
+    return df.filter(F.col(WINDOW_START).isNotNull()).groupBy(WINDOW_START, WINDOW_END).agg(F.transform(pairs, lambda x: x["e"]).alias("errors"))

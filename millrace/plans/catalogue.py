@@ -267,7 +267,7 @@ def unbatch(spark, d):
     return L.unbatch(rows, "items").select("user_id", "batch_id", "place", F.col("item.event_id").alias("event_id"))
 
 
-@query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(CAST(embedding[i] AS DOUBLE), 5) AS x FROM embeddings, (SELECT unnest(range(1, 5)) AS i)""")
+@query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(CAST(embedding[i] AS DOUBLE), 5) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
 def flatten(spark, d):
     return P.nested(spark, d)
 
@@ -293,7 +293,7 @@ def paginate(spark, d):
 @query("""SELECT event_id, event_type FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1
   UNION ALL SELECT event_id, event_type FROM events WHERE event_type = 'error'""")
 def dedupe_first(spark, d):
-    return L.dedupe(events(spark, d), ["user_id", "event_type"]).select("event_id", "event_type")
+    return L.dedupe(events(spark, d), ["user_id", "event_type"], None).select("event_id", "event_type")
 
 
 @query(_greedy("user_id, event_type", 6 * HOUR))
@@ -304,7 +304,7 @@ def dedupe_ttl(spark, d):
 @query("SELECT count(DISTINCT (user_id, event_type)) AS unique_count, count(*) - count(DISTINCT (user_id, event_type)) AS duplicate_count FROM events WHERE event_type <> 'error'")
 def dedupe_stats(spark, d):
     df = events(spark, d)
-    return L.statistics(df, L.dedupe(df, ["user_id", "event_type"]))
+    return L.statistics(df, L.dedupe(df, ["user_id", "event_type"], None))
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS c FROM events WHERE event_type <> 'error')
@@ -367,6 +367,13 @@ def partition_stats(spark, d):
     return R.partition_stats(R.partition_hash(events(spark, d), "user_id", 4))
 
 
+@query(f"""WITH p AS (SELECT {_partition(LONG_BYTES.format(k='user_id'), 4)} AS partition_index FROM events),
+  c AS (SELECT i, count(partition_index) AS n FROM (SELECT unnest(range(0, 4)) AS i) LEFT JOIN p ON partition_index = i GROUP BY i)
+  SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS deviation, round(stddev_pop(n) / avg(n), 6) AS balance FROM c""")
+def partition_balance(spark, d):
+    return R.partition_balance(R.partition_hash(events(spark, d), "user_id", 4), 4)
+
+
 CASES = "CASE WHEN o_totalprice > 250000 THEN 'high_value' WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE 'standard' END"
 
 
@@ -482,6 +489,13 @@ def session_collected(spark, d):
     return W.collect_windows(W.session(events(spark, d), "user_id", 12 * HOUR))
 
 
+@query(f"""WITH {EV}, h AS (SELECT *, us - us % 3600000000 AS w FROM e)
+  SELECT make_timestamp(w) AS window_start, make_timestamp(w + 3600000000) AS window_end, coalesce(string_agg(CASE WHEN NOT ok THEN event_id || ':error event' END, ',' ORDER BY ts, event_id), '') AS errors FROM h GROUP BY w""")
+def window_errors(spark, d):
+    out = W.collect_errors(W.tumbling(events(spark, d), HOUR))
+    return out.withColumn("errors", F.array_join(F.transform("errors", lambda e: F.concat(e["item"]["event_id"].cast("string"), F.lit(":"), e["message"])), ","))
+
+
 # Aggregation and monitoring.
 
 
@@ -499,11 +513,25 @@ def agg_time_window(spark, d):
     return A.by_time(events(spark, d), DAY, {"total": A.sum_of("value"), "high": F.max("value")})
 
 
-@query(f"""WITH {EV}, w AS (SELECT us - us % 900000000 AS w, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM e WHERE ok AND user_id < 20 GROUP BY 1),
-  s AS (SELECT unnest(range((SELECT min(w) FROM w), (SELECT max(w) FROM w) + 1, 900000000)) AS w)
-  SELECT make_timestamp(s.w) AS start_ts, make_timestamp(s.w + 900000000) AS end_ts, coalesce(n, 0) AS n, total FROM s LEFT JOIN w ON s.w = w.w""")
+@query(f"""WITH {EV}, w AS (SELECT us - us % 60000000 AS w, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM e WHERE ok GROUP BY 1),
+  s AS (SELECT unnest(range((SELECT min(w) FROM w), (SELECT max(w) FROM w) + 1, 60000000)) AS w)
+  SELECT make_timestamp(s.w) AS start_ts, make_timestamp(s.w + 60000000) AS end_ts, coalesce(n, 0) AS n, total FROM s LEFT JOIN w ON s.w = w.w""")
 def agg_empty_windows(spark, d):
-    return A.by_time(events(spark, d).filter("user_id < 20"), 15 * MINUTE, {"total": A.sum_of("value")}, empty=True)
+    return A.by_time(events(spark, d), MINUTE, {"total": A.sum_of("value")}, empty=True)
+
+
+@query(f"""WITH {EV}, w AS (SELECT user_id, us - us % 86400000000 AS w, count(*) AS n, max(value) AS high FROM e WHERE ok GROUP BY ALL),
+  s AS (SELECT user_id, unnest(range(min(w), max(w) + 1, 86400000000)) AS w FROM w GROUP BY user_id)
+  SELECT s.user_id, make_timestamp(s.w) AS start_ts, make_timestamp(s.w + 86400000000) AS end_ts, coalesce(n, 0) AS n, high FROM s LEFT JOIN w ON s.w = w.w AND s.user_id = w.user_id""")
+def agg_empty_windows_keyed(spark, d):
+    return A.by_time(events(spark, d), DAY, {"high": F.max("value")}, ["user_id"], empty=True)
+
+
+@query("""WITH n AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8 AS emission FROM events WHERE event_type <> 'error'),
+  c AS (SELECT user_id, emission, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n, list(event_id ORDER BY ts, event_id) AS ids FROM n GROUP BY user_id, emission)
+  SELECT user_id, CAST(emission AS BIGINT) AS emission, start_ts, end_ts, n, CAST(list_reduce(list_prepend(7::BIGINT, ids), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS state FROM c""")
+def agg_user_fold(spark, d):
+    return A.fold_by_count(events(spark, d), 8, F.lit(7).cast("long"), lambda a, x: (a * 31 + x["event_id"]) % 1000003, ["event_id"], ["user_id"])
 
 
 @query(GREEDY_BATCH + """ SELECT user_id, batch_id - 1 AS emission, make_timestamp(min(us)) AS start_ts, make_timestamp(max(us)) AS end_ts, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM r GROUP BY user_id, batch_id""")

@@ -43,7 +43,7 @@ def etl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample, first event of each user, type and day, daily sums by type."""
     rows = sample_by_key(read_events(spark, sf_dir), 0.5, "event_id").filter(is_success())
-    rows = dedupe(rows.withColumn("day", F.date_trunc("day", TS)), ["user_id", "event_type", "day"])
+    rows = dedupe(rows.withColumn("day", F.date_trunc("day", TS)), ["user_id", "event_type", "day"], None)
     return by_time(rows.drop("day"), DAY, {"total": sum_of("value")}, keys=["event_type"])
 
 
@@ -131,6 +131,7 @@ def enrich_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of arrays made flat by one level, then row by row."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
-    rows = flatten(rows.withColumn("v", F.array(F.slice("v", 1, 2), F.slice("v", 3, 2))), "v")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("v"), F.lit(2)), lambda i: F.slice("v", i, F.lit(2)))
+    rows = flatten(rows.filter(F.size("v") > 0).withColumn("v", pairs), "v")
     return unbatch(rows, "v", "x").select("vec_id", "place", F.round(F.col("x").cast("double"), 5).alias("x"))

@@ -17,17 +17,19 @@ from pyspark.sql.types import StructField, StructType
 
 from millrace.functions.envelope import SEQ, TS, is_error, is_success, micros
 from millrace.functions.shipping import ship_package
-from millrace.operators.flow import batch_step, bucket_step, throttle_step
+from millrace.operators.flow import DEFAULT_TTL, batch_step, bucket_step, throttle_step
 from millrace.operators.resilience import breaker_step
 
 
 class _Fold(StatefulProcessor):
-    """A step function over the rows of a key, in order; outputs become columns."""
+    """A step function over the rows of a key, in order; outputs become columns. With ``expire`` (microseconds), the state of
+    a key goes once the watermark is that far past its last row."""
 
-    def __init__(self, step: Callable, inputs: list[str], order: list[str], out: list[str], columns: list[str]):
-        self.step, self.inputs, self.order, self.out, self.columns = step, inputs, order, out, columns
+    def __init__(self, step: Callable, inputs: list[str], order: list[str], out: list[str], columns: list[str], expire: int | None = None):
+        self.step, self.inputs, self.order, self.out, self.columns, self.expire = step, inputs, order, out, columns, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "value binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -38,9 +40,17 @@ class _Fold(StatefulProcessor):
             state, result = self.step(state, *values)
             found.append(result)
         self.state.update((pickle.dumps(state),))
+        if self.expire is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
+            self.handle.registerTimer((int(pdf[US].max()) + self.expire + 999) // 1000)
         pdf[self.out] = pd.DataFrame(found, columns=self.out, index=pdf.index, dtype=object)
         yield pdf[[*self.columns, *self.out]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -58,27 +68,32 @@ def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, out: Stru
     return done.select(*[F.col(_plain(c)).alias(c) for c in (*df.columns, *out.names)])
 
 
-def stateful_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, out: str) -> DataFrame:
-    """``ordered_fold`` for a stream of rows that all take part. Late rows meet the state as it is."""
+def stateful_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, out: str, expire: int | None = None) -> DataFrame:
+    """``ordered_fold`` for a stream of rows that all take part. Late rows meet the state as it is. With ``expire``, the stream
+    has a watermark on ``_ts`` and ``_us`` among its columns."""
     ship_package(df.sparkSession)
     own = StructType.fromDDL(out)
     names = lambda cs: [_plain(c) for c in cs]
-    return _run(df, keys, _Fold(step, names(inputs), names(order), names(own.names), names(df.columns)), own, "None")
+    return _run(df, keys, _Fold(step, names(inputs), names(order), names(own.names), names(df.columns), expire), own, "None" if expire is None else "EventTime")
 
 
-def _keyed(df: DataFrame, keys: list[str], step: Callable, out: str, columns: list[str]) -> DataFrame:
+def _keyed(df: DataFrame, keys: list[str], step: Callable, out: str, columns: list[str], expire: int | None = None, lateness: str | None = None) -> DataFrame:
     rows = df.filter(is_success()).select(*columns, SEQ, TS, micros(F.col(TS)).alias("_us"))
-    return stateful_fold(rows, keys, ["_us", SEQ], ["_us"], step, out).drop("_us")
+    if lateness is None:
+        return stateful_fold(rows, keys, ["_us", SEQ], ["_us"], step, out).drop("_us")
+    rows = rows.withColumn(TS, F.col(TS).cast("timestamp")).withWatermark(TS, lateness)
+    return stateful_fold(rows, keys, ["_us", SEQ], ["_us"], step, out, expire).drop("_us")
 
 
-def throttle(df: DataFrame, duration: int, keys: list[str], columns: list[str]) -> DataFrame:
-    """Successes that the throttle lets through (payload columns, ``_seq``, ``_ts``)."""
-    return _keyed(df, keys, throttle_step(duration), "_keep boolean", columns).filter("_keep").drop("_keep")
+def throttle(df: DataFrame, duration: int, keys: list[str], columns: list[str], lateness: str | None = None) -> DataFrame:
+    """Successes that the throttle lets through (payload columns, ``_seq``, ``_ts``). With ``lateness``, a key that has been
+    quiet for ``duration`` is forgotten, as it would let the next row through anyway; rows later than that are dropped."""
+    return _keyed(df, keys, throttle_step(duration), "_keep boolean", columns, duration, lateness).filter("_keep").drop("_keep")
 
 
-def dedupe(df: DataFrame, ttl: int, keys: list[str], columns: list[str]) -> DataFrame:
-    """Successes whose key has not been let through for ``ttl`` microseconds."""
-    return throttle(df, ttl, keys, columns)
+def dedupe(df: DataFrame, keys: list[str], columns: list[str], ttl: int = DEFAULT_TTL, lateness: str | None = None) -> DataFrame:
+    """Successes whose key has not been let through for ``ttl`` microseconds. State as in ``throttle``."""
+    return throttle(df, ttl, keys, columns, lateness)
 
 
 def token_bucket(df: DataFrame, interval: int, burst: int, keys: list[str], columns: list[str]) -> DataFrame:

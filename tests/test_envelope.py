@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import envelope as E
-from millrace.functions.fnv import fnv1a_mod
+from millrace.functions.fnv import with_fnv1a_mod
 from millrace.functions.ordering import numbered
 from millrace.sources.files import from_rows, read_table, write_routes, write_split
 
@@ -56,16 +56,16 @@ def test_metadata(rows):
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_fnv_of_texts_and_numbers(spark, n):
     texts = ["", "apple", "banana", "héllo", "日本", "x" * 50]
-    got = {r.k: r.h for r in spark.createDataFrame([(t,) for t in texts], "k string").select("k", fnv1a_mod(F.col("k"), "string", n).alias("h")).collect()}
+    got = {r.k: r.h for r in spark.createDataFrame([(t,) for t in texts], "k string").transform(with_fnv1a_mod, "k", n, "h").collect()}
     assert got == {t: fnv(t.encode()) % n for t in texts}
     numbers = [0, 1, -1, 255, 1 << 40, -(1 << 63), (1 << 63) - 1]
-    got = {r.k: r.h for r in spark.createDataFrame([(t,) for t in numbers], "k long").select("k", fnv1a_mod(F.col("k"), "bigint", n).alias("h")).collect()}
+    got = {r.k: r.h for r in spark.createDataFrame([(t,) for t in numbers], "k long").transform(with_fnv1a_mod, "k", n, "h").collect()}
     assert got == {t: fnv(struct.pack("<q", t)) % n for t in numbers}
 
 
 def test_fnv_of_doubles(spark):
     numbers = [0.0, -0.0, 1.0, -2.5, 0.1, 1e300, 1e-300, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 3.141592653589793]
-    got = [r.h for r in spark.createDataFrame([(i, t) for i, t in enumerate(numbers)], "i int, k double").orderBy("i").select(fnv1a_mod(F.col("k"), "double", 10_007).alias("h")).collect()]
+    got = [r.h for r in spark.createDataFrame([(i, t) for i, t in enumerate(numbers)], "i int, k double").transform(with_fnv1a_mod, "k", 10_007, "h").orderBy("i").collect()]
     assert got == [fnv(struct.pack("<d", t)) % 10_007 for t in numbers]
 
 

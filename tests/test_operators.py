@@ -129,7 +129,7 @@ def test_unbatch_and_flatten(spark):
 
 def test_dedupe(stream):
     df = stream((1, 0, "a"), (2, 10, "a"), (3, 100, "a"), (4, 100, "b"), (-1, 101, "a"))
-    assert values(L.dedupe(df, ["key"])) == [1, 4, -1] and values(L.dedupe(df, ["key"], 100 * MS)) == [1, 3, 4, -1]
+    assert values(L.dedupe(df, ["key"], None)) == values(L.dedupe(df, ["key"])) == [1, 4, -1] and values(L.dedupe(df, ["key"], 100 * MS)) == [1, 3, 4, -1]
 
 
 def test_fan_in_and_out(stream):

@@ -42,6 +42,12 @@ def test_throttle_and_batches(pair):
         L.batch(batch, 5, 6 * HOUR, ["user_id"]).filter(is_success()), "batch_id")
 
 
+def test_dedupe_forgets_quiet_keys(pair):
+    batch, stream = pair
+    got = stateful.dedupe(stream, ["user_id"], ["event_id", "user_id"], 24 * HOUR, lateness="40 days")
+    assert ids(run_to_memory(got, "s_dedupe")) == ids(L.dedupe(batch, ["user_id"], 24 * HOUR).filter(is_success()))
+
+
 def test_circuit_breaker(pair):
     batch, stream = pair
     got = run_to_memory(stateful.circuit_breaker(stream, ["user_id"], ["event_id", "user_id"], 0.3, 5, 24 * HOUR, 2), "s_breaker")
