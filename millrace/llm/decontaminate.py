@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing.
 
 Both sides keep the smallest k-gram hash of every w consecutive k-grams. Any shared span of at least k + w - 1 words
-holds a k-gram that both sides keep, so joining the kept fingerprints misses none; each hit is then extended word by
-word, checked against the words themselves, and counts if it reaches the window length. The benchmark's fingerprints
+holds a k-gram that both sides keep, so joining the kept fingerprints misses none; each hit is then extended: the
+windows around it are looked up among the benchmark's, checked against the words themselves, and joined to runs. The benchmark's fingerprints
 go to every task in blocks of a checked size; the documents are never shuffled.
 """
 
@@ -16,92 +16,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, prepare
-from .textkit import blocks, byte_table
+from .textkit import Words, blocks, byte_table
 
 #: Words of a benchmark block that is sent to the tasks (about 50 bytes each there). More words make more blocks.
 MAX_BLOCK_WORDS = 2_000_000
 _BITS = 20
 
 
+class Part:
+    """What an index holds for windows of one length: kept fingerprints, and the windows by name, each with its items."""
+
+    def __init__(self, prints: np.ndarray, names: np.ndarray, items: np.ndarray, places: np.ndarray):
+        self.prints = np.unique(prints)
+        self.seen = np.zeros(1 << _BITS, bool)
+        self.seen[(self.prints >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        order = np.lexsort((places, items, names))
+        self.names, self.items, self.places = names[order], items[order], places[order]
+        self.unique, self.first = np.unique(self.names, return_index=True)
+        self.first = np.append(self.first, len(self.names))
+
+
 class Index:
-    """Fingerprints of a block of benchmark items, by window length: the full one and those of shorter items."""
+    """Windows of a block of benchmark items, by length: the full one and those of shorter items."""
 
     def __init__(self, items: pa.Table, window: int, k: int):
         self.window, self.k = window, k
         self.ids = items.column(0).to_pylist()
         self.words: list[list[bytes]] = []
-        self.parts: dict[int, tuple] = {}
-        names: list[np.ndarray] = []
         found: dict[int, list] = {}
         at = 0
         for _, _, w in blocks(items.column(1).combine_chunks(), byte_table("alnum"), lower=True):
-            for i in range(len(w.first) - 1):
-                a, b = w.first[i], w.first[i + 1]
-                self.words.append(w.text(a, b))
-                names.append(w.name[a:b])
+            self.words += [w.text(a, b) for a, b in zip(w.first[:-1], w.first[1:])]
             room = w.room()
             sizes = np.diff(w.first)
             for length in {window, *(int(s) for s in np.unique(sizes) if 0 < s < window)}:
                 gram, span = self.shape(length)
                 ok = (sizes >= window if length == window else sizes == length)[w.doc]
                 kept, h = fingerprints(w, gram, span, room)
-                use = ok[kept]
-                found.setdefault(length, []).append((h[use], w.doc[kept][use] + at, kept[use] - w.first[w.doc[kept][use]]))
+                starts = np.flatnonzero(ok & (room >= length))
+                found.setdefault(length, []).append((h[ok[kept]], w.grams(length)[starts], w.doc[starts] + at, starts - w.first[w.doc[starts]]))
             at += len(w.first) - 1
-        self.names = names
-        for length, xs in found.items():
-            h, item, pos = (np.concatenate(c) for c in zip(*xs))
-            if len(h):
-                order = np.argsort(h, kind="stable")
-                h = h[order]
-                seen = np.zeros(1 << _BITS, bool)
-                seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-                self.parts[length] = (h, item[order], pos[order], seen)
+        self.parts = {length: Part(*(np.concatenate(c) for c in zip(*xs))) for length, xs in found.items() if sum(len(x[0]) for x in xs)}
 
     def shape(self, length: int) -> tuple[int, int]:
         """(k, w) with k + w - 1 = length; short windows are taken whole."""
         return (self.k, length - self.k + 1) if length >= 2 * self.k - 1 else (length, 1)
 
-    def hits(self, w) -> tuple[list[set], list[list]]:
-        """For each text of the block: item numbers found, and (from, to) word ranges hit."""
+    def hits(self, w: Words) -> tuple[list[set], list[list]]:
+        """For each text of the block: item numbers found, and (from, to) word ranges hit, one for each run of windows.
+
+        A text's kept fingerprints that the benchmark has too are extended at once: all windows around them are looked up
+        by name, so that it makes no difference how many items share the fingerprint; and the words decide."""
         items: list[set] = [set() for _ in range(len(w.first) - 1)]
         spans: list[list] = [[] for _ in items]
         room = w.room()
-        for length, (h, item, pos, seen) in self.parts.items():
-            kept, g = fingerprints(w, *self.shape(length), room)
-            use = seen[(g >> np.uint64(64 - _BITS)).astype(np.int64)]
+        for length, part in self.parts.items():
+            gram, span = self.shape(length)
+            kept, g = fingerprints(w, gram, span, room)
+            use = part.seen[(g >> np.uint64(64 - _BITS)).astype(np.int64)]
             kept, g = kept[use], g[use]
-            lo, hi = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
-            done: dict[tuple, int] = {}
-            for x in np.flatnonzero(hi > lo):
-                p, d = int(kept[x]), int(w.doc[kept[x]])
-                for y in range(lo[x], hi[x]):
-                    i, q = int(item[y]), int(pos[y])
-                    if done.get((d, i, p - q), -1) >= p:  # inside a run already extended on this alignment
-                        continue
-                    a, b = self.extend(w, p, d, i, q)
-                    done[d, i, p - q] = b
-                    if b - a >= length:
-                        items[d].add(i)
-                        spans[d].append((a - int(w.first[d]), b - int(w.first[d])))
+            kept = kept[_place(part.prints, g) >= 0]
+            if not len(kept):
+                continue
+            around = np.zeros(len(room) + 1, np.int32)
+            np.add.at(around, np.maximum(kept - (length - gram), w.first[w.doc[kept]]), 1)
+            np.add.at(around, kept + 1, -1)
+            starts = np.flatnonzero((np.cumsum(around[:-1]) > 0) & (room >= length))
+            where = _place(part.unique, w.grams(length)[starts])
+            for s, x in zip(starts[where >= 0].tolist(), where[where >= 0].tolist()):
+                d, words = int(w.doc[s]), w.text(s, s + length)
+                a, b = part.first[x], part.first[x + 1]
+                same = [i for i, q in self._windows(part, a, b) if self.words[i][q : q + length] == words]
+                if same:
+                    items[d].update(same)
+                    s -= int(w.first[d])
+                    if spans[d] and spans[d][-1][0] <= s <= spans[d][-1][1]:
+                        spans[d][-1] = (spans[d][-1][0], max(spans[d][-1][1], s + length))
+                    else:
+                        spans[d].append((s, s + length))
         return items, spans
 
-    def extend(self, w, p: int, d: int, i: int, q: int) -> tuple[int, int]:
-        """The longest equal run of words around word p of the text and word q of the item."""
-        a0, b0, words = int(w.first[d]), int(w.first[d + 1]), self.words[i]
-        left, right = min(p - a0, q), min(b0 - p, len(words) - q)
-        same = w.name[p - left : p + right] == self.names[i][q - left : q + right]
-        off = np.flatnonzero(~same)
-        a = left - (left - 1 - int(off[off < left].max()) if (off < left).any() else left)
-        b = int(off[off >= left].min()) if (off >= left).any() else left + right
-        if w.text(p - left + a, p - left + b) != words[q - left + a : q - left + b]:  # a hash collision: word by word
-            eq = [x == y for x, y in zip(w.text(p - left, p + right), words[q - left : q + right])]
-            a, b = left, left
-            while a > 0 and eq[a - 1]:
-                a -= 1
-            while b < len(eq) and eq[b]:
-                b += 1
-        return p - left + a, p - left + b
+    @staticmethod
+    def _windows(part: Part, a: int, b: int) -> list[tuple[int, int]]:
+        """(item, place) of the windows a to b: one for each item."""
+        return list(dict(zip(part.items[a:b].tolist(), part.places[a:b].tolist())).items())
+
+
+def _place(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where values stand in an ordered array without repeats; -1 where they don't."""
+    if not len(ordered):
+        return np.full(len(values), -1)
+    i = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[i] == values, i, -1)
 
 
 def fingerprints(w, k: int, span: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

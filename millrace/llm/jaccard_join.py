@@ -3,8 +3,9 @@
 Shingles are hashed into m segments, with m set by the band of the set's size. Sets within the threshold differ in at
 most H shingles, so with m + a > H (a of the segments also indexed with one shingle left out) some segment of theirs
 agrees, exactly or but for one shingle. Every set therefore gets a signature for the contents of each segment, plus
-those of the one-deletion neighbourhoods where the cost model allots them; sets that share one are compared exactly.
-Equal sets are one node from the start.
+those of the one-deletion neighbourhoods where the cost model allots them; sets that share one are compared exactly:
+by 64-bit names of shingles only after all equal names were found to stand for equal words, by the words otherwise.
+Documents of equal words, by a cryptographic digest, are one node from the start.
 """
 
 from __future__ import annotations
@@ -20,19 +21,24 @@ from pyspark.sql import functions as F
 
 from .common import Table, prepare
 from .links import connect, in_blocks
-from .textkit import blocks, byte_table, mix
+from .textkit import BLOCK_BYTES, Words, blocks, byte_table, mix
 
 _U = np.uint64
 #: Documents whose texts are wanted for comparing are sent as a list up to this many; more are joined.
 MAX_SENT = 1_000_000
 #: Rows, and shingles in all, of half a block in which sets are compared all against all.
 GROUP_ROWS, GROUP_SHINGLES = 512, 500_000
+#: Sets whose digests agree in their first halves, at most: by chance there is hardly one in ten thousand million sets.
+MAX_CLASHES = 10_000
 #: In the cost model, what a segment of one shingle or none costs, in signatures: it can agree by chance.
 THIN_COST = 6.0
 
 
 def band(n: int, num: int) -> int:
-    """Sets within a Jaccard similarity of num/100 lie in the same or in adjacent bands."""
+    """Sets within a Jaccard similarity of num/100 lie in the same or in adjacent bands. Where only equal sets link, each
+    size is a band."""
+    if num == 100:
+        return n
     return int(math.floor(math.log(n) / math.log(100 / num) + 1e-9))
 
 
@@ -44,6 +50,8 @@ def scheme(b: int, num: int) -> tuple[int, int, int]:
     segments have signatures for those as well. Of the allotments that the pigeonhole allows, the one of least cost is
     taken: signatures, plus a penalty for thin segments.
     """
+    if num == 100:
+        return 1, 0, 0
     lo = max(1, math.ceil((100 / num) ** b - 1e-6))
     hi = max(lo, math.ceil((100 / num) ** (b + 1) - 1e-6) - 1)
     h = (100 - num) * (hi + hi * 100 // num) // (100 + num)
@@ -60,33 +68,60 @@ def scheme(b: int, num: int) -> tuple[int, int, int]:
     return min(found)[1:]
 
 
-def shingle_sets(texts: pa.Array, n: int, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, shingles, bounds): the distinct shingles of each text of a block, sorted, as 64-bit names."""
-    for a, b, w in blocks(texts, byte_table("spaces"), lower):
-        grams, room, sizes = w.grams(n), w.room(), np.diff(w.first)
-        ok = room >= n
-        for d in np.flatnonzero((sizes > 0) & (sizes < n)):  # shorter texts: the whole sequence
-            i = w.first[d]
-            ok[i] = True
-            h = _U(sizes[d])
-            with np.errstate(over="ignore"):
-                for x in w.name[i : w.first[d + 1]]:
-                    h = h * _U(0x9FB21C651E98DF25) + x
-            grams[i] = mix(np.array([h]))[0]
-        at = np.flatnonzero(ok)
+def shingle_sets(texts: pa.Array, n: int, lower: bool, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words, bool]]:
+    """(from, to, shingles, bounds, words, sure): the distinct shingles of each text of a block, sorted, as 64-bit names;
+    sure: no text has different shingles of one name."""
+    for a, b, w in blocks(texts, byte_table("spaces"), lower, size):
+        grams, at = _shingles(w, n)
         g, d = grams[at], w.doc[at]
         order = np.lexsort((g, d))
         g, d = g[order], d[order]
         first = np.ones(len(g), bool)
         first[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+        again = np.flatnonzero(~first)
+        sure = same_shingles(w, n, at[order[again]], at[order[again - 1]])
         g, d = g[first], d[first]
-        yield a, b, g, np.searchsorted(d, np.arange(b - a + 1))
-
-
-def set_names(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each set of shingles."""
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(g ^ _U(0x5851F42D4C957F2D)))])
-    return mix(run[bounds[1:]] - run[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * _U(0xDA942042E4DD58B5))
+        yield a, b, g, np.searchsorted(d, np.arange(b - a + 1)), w, sure
+
+
+def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the shingles from each word on, and the words from which there is one. A text of fewer words has one."""
+    grams, room, sizes = w.grams(n), w.room(), np.diff(w.first)
+    ok = room >= n
+    for d in np.flatnonzero((sizes > 0) & (sizes < n)):  # shorter texts: the whole sequence
+        i = w.first[d]
+        ok[i] = True
+        h = _U(sizes[d])
+        with np.errstate(over="ignore"):
+            for x in w.name[i : w.first[d + 1]]:
+                h = h * _U(0x9FB21C651E98DF25) + x
+        grams[i] = mix(np.array([h]))[0]
+    return grams, np.flatnonzero(ok)
+
+
+def same_shingles(w: Words, n: int, i: np.ndarray, j: np.ndarray) -> bool:
+    """Whether the shingles from the words i[x] and j[x] on are equal, all of them, by their words."""
+    own = np.minimum(np.diff(w.first)[w.doc], n)  # words of a text's shingles
+    return bool((own[i] == own[j]).all()) and all(w.same(i[own[i] > k] + k, j[own[i] > k] + k).all() for k in range(n))
+
+
+def distinct_names(w: Words, n: int) -> bool:
+    """Whether shingles of a block with equal names have equal words, in all its texts."""
+    grams, at = _shingles(w, n)
+    at = at[np.argsort(grams[at], kind="stable")]
+    equal = np.flatnonzero(grams[at[1:]] == grams[at[:-1]])
+    return same_shingles(w, n, at[equal], at[equal + 1])
+
+
+def exact_sets(w: Words, n: int) -> list[np.ndarray]:
+    """The sets of a block's texts with a number for each shingle, told apart by its words."""
+    number: dict[tuple[bytes, ...], int] = {}
+    out = []
+    for a, b in zip(w.first[:-1], w.first[1:]):
+        words = w.text(a, b)
+        found = {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+        out.append(np.array(sorted(number.setdefault(x, len(number)) for x in found), np.uint64))
+    return out
 
 
 def signatures(g: np.ndarray, bounds: np.ndarray, num: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +162,15 @@ def signatures(g: np.ndarray, bounds: np.ndarray, num: int) -> tuple[np.ndarray,
 
 
 def named_sets(nodes: list[int], texts: pa.Array, n: int, lower: bool) -> dict[int, np.ndarray]:
-    """The sets of the nodes, from their texts. Another text under a repeated id is not the one meant."""
+    """The sets of the nodes, from their texts, comparable with each other: by names, which are checked to stand for the
+    same words all through, or else by the words. Another text under a repeated id is not the one meant."""
     out: dict[int, np.ndarray] = {}
-    for x, y, g, bounds in shingle_sets(texts, n, lower):
-        own = set_names(g, bounds).view(np.int64)
-        for i in range(x, y):
-            if own[i - x] == nodes[i]:
-                out[nodes[i]] = g[bounds[i - x] : bounds[i - x + 1]]
+    for _, _, g, bounds, w, _ in shingle_sets(texts, n, lower, 1 << 62):
+        own = w.digests()
+        sets = [g[x:y] for x, y in zip(bounds[:-1], bounds[1:])] if distinct_names(w, n) else exact_sets(w, n)
+        for i, node in enumerate(nodes):
+            if node in (own[0][i], own[1][i]):
+                out[node] = sets[i]
     return out
 
 
@@ -189,35 +226,47 @@ def jaccard_groups(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "do
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a document's set holds its distinct
     shingles of ``n`` words, or its whole word sequence if that is shorter. Documents link if 100 * |both| >= num *
-    |either|; component_id is the smallest doc_id reachable. ``set_id`` is equal for equal sets (null without words).
+    |either|; component_id is the smallest doc_id reachable. ``set_id`` is equal for equal word sequences (null without words).
     Documents without words, null texts included, link with nothing and are their own component; so does a null
     doc_id's, which is null where no other member has an id. Repeated rows are equal sets. Empty input, no rows.
     """
+    if n < 1 or not 0 < num <= 100:
+        raise ValueError("shingles of at least one word, and a similarity over 0 and up to 100")
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, node = [], []
-            for _, _, g, bounds in shingle_sets(batch.column(1), n, lower):
-                size.append(np.diff(bounds))
-                node.append(set_names(g, bounds).view(np.int64))
-            size, node = np.concatenate(size or [np.zeros(0, np.int64)]), np.concatenate(node or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64(), mask=size == 0)], names=["doc_id", "n_shingles", "set_id"])
+            for a, b, _, bounds, w, sure in shingle_sets(batch.column(1), n, lower):
+                size = np.diff(bounds) if sure else np.array([len(x) for x in exact_sets(w, n)])
+                node, check = w.digests()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.int64(), mask=size == 0), pa.array(check, pa.int64(), mask=size == 0)],
+                    names=["doc_id", "n_shingles", "set_id", "check"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, g, bounds in shingle_sets(batch.column(0), n, lower):
+            for _, _, g, bounds, w, _ in shingle_sets(batch.column(0), n, lower):
                 sig, which = signatures(g, bounds, num)
-                node = set_names(g, bounds)[which]
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node.view(np.int64))], names=["sig", "node"])
+                node, check = (x[which] for x in w.digests())
+                if len(clashing):
+                    node = np.where(np.isin(node, clashing), check, node)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node)], names=["sig", "node"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sets = Table(src.mapInArrow(names, f"doc_id {kind}, n_shingles long, set_id long"), "shingle-sets")
+    sets = Table(src.mapInArrow(names, f"doc_id {kind}, n_shingles long, set_id long, check long"), "shingle-sets").df
+    one = sets.filter("set_id is not null").groupBy(F.col("set_id").alias("node")).agg(
+        F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.min("check").alias("x"), F.max("check").alias("y"))
+    one = Table(one, "sets-once")
+    # Digests of two halves: where first halves meet by chance, which is next to never, the second ones are the nodes.
+    clashing = one.df.filter("x <> y").select("node").limit(MAX_CLASHES + 1).toArrow()["node"].to_numpy()
+    if len(clashing) > MAX_CLASHES:
+        raise RuntimeError("the digests of texts are not random")
+    if len(clashing):
+        sets = sets.withColumn("set_id", F.when(F.col("set_id").isin(*clashing.tolist()), F.col("check")).otherwise(F.col("set_id")))
+        one = Table(sets.filter("set_id is not null").groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")), "sets-once")
     rows = src.select("text").mapInArrow(sign, "sig long, node long")
-    one = Table(sets.df.filter("set_id is not null").groupBy(F.col("set_id").alias("node")).agg(
-        F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")), "sets-once")
 
     def texts_of(nodes: DataFrame) -> Table:
         """``node, text``: one text of each set wanted (``node, id``)."""
@@ -236,18 +285,14 @@ def jaccard_groups(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "do
             texts.df.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[int, np.ndarray] = {}
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
                     part = batch.slice(i, 256)
                     a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    for nodes, texts in ((a, part.column(2)), (b, part.column(3))):
-                        new = list({k: x for x, k in enumerate(nodes) if k not in known}.values())
-                        known |= named_sets([nodes[x] for x in new], texts.take(pa.array(new, pa.int64())), n, lower)
+                    rows = dict.fromkeys([*zip(a, part.column(2).to_pylist()), *zip(b, part.column(3).to_pylist())])
+                    known = named_sets([k for k, _ in rows], pa.array([t for _, t in rows], pa.string()), n, lower)
                     keep = [x in known and y in known and within(known[x], known[y], num) for x, y in zip(a, b)]
                     yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-                    if sum(map(len, known.values())) > 2_000_000:
-                        known.clear()
 
         linked = Table(wide.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct(), "linked")
         fit.drop()
@@ -279,5 +324,5 @@ def jaccard_groups(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "do
     grouped = one.df.join(labels.df.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("node", "first", label.alias("label"))
     least = grouped.groupBy("label").agg(F.min("first").alias("least"))
     of_set = Table(grouped.join(least, "label").select("node", "least"), "set-components")
-    return sets.df.join(of_set.df, F.col("set_id") == F.col("node"), "left").select(
+    return sets.join(of_set.df, F.col("set_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "set_id")

@@ -4,8 +4,9 @@ Rounds of recompression name runs of equal symbols, then pairs of a left-class a
 classes are hashes of what they stand for, so they are global without a dictionary, and a word sequence gets the
 same interior symbols wherever it stands. For every window of words the symbols that depend on nothing outside it
 are known exactly; the window's signature is the least-hashed triple of them. Equal windows have equal signatures, so
-windows whose signature occurs once in the corpus are done with; the others are compared as wholes, and each equal
-group keeps its first occurrence. The text is exchanged once, to meet the places that stay.
+windows whose signature occurs once in the corpus are done with; the others are compared as wholes, by two names of
+all their words that are made independently of each other and of the symbols, and each equal group keeps its first
+occurrence. The text is exchanged once, to meet the places that stay.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     Words are runs of characters other than ASCII white space, unchanged. A word goes if it is covered by ``window``
     consecutive words that also start earlier: in a document of smaller id, or earlier in the same one. Windows are
     judged on the input. Null, empty and short texts have no windows; a null id is the smallest; rows that repeat a
-    doc_id count as one document, so that what stands at the same place in both goes from neither. Windows are compared
-    by 64-bit names within 64-bit signatures. Empty input, no rows.
+    doc_id count as one document, so that what stands at the same place in both goes from neither. Windows are equal
+    if they agree in two independent 64-bit names of their words and in the signature. Empty input, no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -144,7 +145,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         work = src.join(own.df.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "own")
 
     def candidates(w: Words, own: list | None) -> tuple[np.ndarray, np.ndarray]:
-        """First words and names of the windows with a repeated signature."""
+        """First words and signatures of the windows with a repeated signature."""
         at, sig, _ = window_signatures(w, window)
         sig = sig.view(np.int64)
         if sent is not None:
@@ -155,24 +156,24 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             for i, x in enumerate(own):
                 if x:
                     hit[bounds[i] : bounds[i + 1]] = _member(sig[bounds[i] : bounds[i + 1]], np.array(x, np.int64))
-        at = at[hit]
-        return at, mix(w.grams(window)[at] ^ sig[hit].view(np.uint64)).view(np.int64)
+        return at[hit], sig[hit].view(np.uint64)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = None if sent is not None else batch.column(2).to_pylist()
             for a, b, w in blocks(batch.column(1), is_word):
-                at, names = candidates(w, own and own[a:b])
+                at, sig = candidates(w, own and own[a:b])
+                names = [mix(w.grams(window)[at] ^ sig).view(np.int64), w.grams(window, w.second_names())[at].view(np.int64)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), batch.column(0).slice(a, b - a).take(pa.array(w.doc[at])), pa.array((at - w.first[w.doc[at]]).astype(np.int32))], names=["name", "doc_id", "start"])
+                    [*map(pa.array, names), batch.column(0).slice(a, b - a).take(pa.array(w.doc[at])), pa.array((at - w.first[w.doc[at]]).astype(np.int32))], names=["name", "second", "doc_id", "start"])
 
-    named = work.mapInArrow(name, f"name long, doc_id {kind}, start int")
+    named = work.mapInArrow(name, f"name long, second long, doc_id {kind}, start int")
     if _packable(src):
         place_ = F.shiftleft(F.col("doc_id").cast("long"), PLACE_BITS) + F.col("start")
-        first = named.groupBy("name").agg(F.min(place_).alias("p")).select(
+        first = named.groupBy("name", "second").agg(F.min(place_).alias("p")).select(
             F.shiftright("p", PLACE_BITS).cast(kind).alias("doc_id"), F.col("p").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("start"))
     else:
-        first = named.groupBy("name").agg(F.min(F.struct("doc_id", "start")).alias("p")).select("p.*")
+        first = named.groupBy("name", "second").agg(F.min(F.struct("doc_id", "start")).alias("p")).select("p.*")
     firsts = Table(first.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("start").alias("firsts")), "first-windows")
     joined = work.join(firsts.df.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "own", "firsts")
 

@@ -1,18 +1,20 @@
 """Vectorised tokens: the words of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-A word's name is a 64-bit hash of its bytes, so all executors name a word alike without a dictionary. Texts are
+A word's name is a 64-bit hash of its bytes, lane by lane, so all executors name a word alike without a dictionary; where
+names decide, they are checked against the bytes (``same``) or taken with a second name. Texts are
 taken in blocks of half a megabyte; a longer text is a block of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
 
@@ -41,19 +43,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: Bytes of a word up to which its names are made lane by lane for all words at once; longer words are hashed one by one.
+LONG_WORD = 64
+#: For each lane of eight bytes, the mask of its first k bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        m = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[_U(1)], np.full(m, _BASE, np.uint64)]))
-            _inverse = np.cumprod(np.concatenate([[_U(1)], np.full(m, pow(_BASE, -1, 1 << 64), np.uint64)]))
-    return _powers[:n], _inverse[:n]
+def lanes(data: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k to 8k + 8 of words, as numbers; zeros stand for what is beyond a word. ``data`` has eight bytes to spare."""
+    at = start + 8 * k
+    wide = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))
+    return wide[np.minimum(at, len(wide) - 1)].view("<u8").ravel() & _MASK[np.clip(size - 8 * k, 0, 8)]
 
 
 class Words:
@@ -74,24 +74,46 @@ class Words:
         self.end = np.flatnonzero(stop)
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.name = self._names()
-
-    def _names(self) -> np.ndarray:
-        """Polynomial hash of each word from one running sum over the bytes, then mixed; the power of the base at the
-        word's start is divided out."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        power, inverse = _power_tables(len(self.data) + 1)
-        run = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + _U(1)) * power[:-1], out=run[1:])
-        return mix((run[self.end] - run[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
-
-    def grams(self, n: int) -> np.ndarray:
+        self.padded = np.append(self.data, np.zeros(8, np.uint8))
+        self.name = self._names(_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), 1)
+
+    def _names(self, seed: np.uint64, factor: np.uint64, turn: int) -> np.ndarray:
+        """Hash of each word: its lanes are mixed in one after the other, so that no order or pattern of bytes cancels out."""
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64) * factor + seed)
+        k, at = 0, np.flatnonzero(size <= LONG_WORD)
+        while len(at):
+            out[at] = mix((out[at] ^ lanes(self.padded, self.start[at], size[at], k)) * factor + seed)
+            k += 1
+            at = at[size[at] > 8 * k]
+        for i in np.flatnonzero(size > LONG_WORD):
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), seed=turn)
+        return out
+
+    def second_names(self) -> np.ndarray:
+        """A second name of each word, independent of the first."""
+        return self._names(_U(0xA0761D6478BD642F), _U(0x8EBC6AF09C88C6E3), 2)
+
+    def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the words i[x] and j[x] are equal, by their bytes."""
+        size = self.end - self.start
+        equal = size[i] == size[j]
+        k, at = 0, np.flatnonzero(equal & (size[i] <= LONG_WORD))
+        while len(at):
+            equal[at] = lanes(self.padded, self.start[i[at]], size[i[at]], k) == lanes(self.padded, self.start[j[at]], size[j[at]], k)
+            k += 1
+            at = at[equal[at] & (size[i[at]] > 8 * k)]
+        for x in np.flatnonzero(equal & (size[i] > LONG_WORD)):
+            equal[x] = self.text(i[x], i[x] + 1) == self.text(j[x], j[x] + 1)
+        return equal
+
+    def grams(self, n: int, names: np.ndarray | None = None) -> np.ndarray:
         """Hash of the n words from each word on; meaningful only where the text has them (see ``room``)."""
-        out = np.zeros(len(self.name), np.uint64)
+        names = self.name if names is None else names
+        out = np.zeros(len(names), np.uint64)
         for k in range(n):
             m = max(len(out) - k, 0)
-            out[:m] = out[:m] * _U(0xD6E8FEB86659FD93) + self.name[k:]
+            out[:m] = out[:m] * _U(0xD6E8FEB86659FD93) + names[k:]
         return mix(out)
 
     def room(self) -> np.ndarray:
@@ -102,6 +124,20 @@ class Words:
         """The words a to b, as bytes."""
         return [self.data[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b])]
 
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, the two halves of a cryptographic digest of its words in order: equal only for equal words."""
+        size = self.end - self.start
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.start] += 1
+        edge[self.end] -= 1
+        kept = self.data[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes()
+        sizes = size.astype("<i8").tobytes()  # tell where the words end
+        bound = np.concatenate([[0], np.cumsum(size)])[self.first].tolist()
+        out = [hashlib.blake2b(kept[x:y] + sizes[8 * a : 8 * b], digest_size=16).digest()
+               for x, y, a, b in zip(bound[:-1], bound[1:], self.first[:-1].tolist(), self.first[1:].tolist())]
+        both = np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
 
 def blocks(texts: pa.Array, is_word: np.ndarray, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) of consecutive texts, about ``size`` bytes at a time. A null has no words."""
