@@ -21,35 +21,55 @@ MIN_SCORE = 0.5
 MAX_SENT = 1_000_000
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` as one column ``row`` and copies of the columns that a stage reads, so that no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without letters go, and those in which no language has half of the text."""
-    found = identify(docs, fit(docs), keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents in a language: those without letters go, null and empty texts among them, and those in which no language
+    has half of the text. The model is fitted on the labelled rows of ``docs``; without any, all documents are
+    undetermined and go. Whole texts count, however long; repeated rows stay repeated; an empty table gives no rows; other
+    columns pass, whatever their names."""
+    rows = packed(docs, "text", "lang")
+    found = identify(rows, fit(rows), keep=("row",))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest id. Shingles of five words, similarity 0.8."""
-    groups = jaccard_groups(docs, n=5, num=80)
-    gone = Table(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies").df
+    """One row of each group of near copies: that of the smallest id, then the first in the table; a null id is the
+    largest. Shingles of five words, similarity 0.8. Repeated rows, and equal ids or null ids with other texts, are rows of their own, so
+    exactly one of a group stays. Null and empty texts are near nothing and stay. Very long texts are compared whole;
+    an empty table gives no rows; other columns pass, whatever their names."""
+    rows = packed(docs, "doc_id", "text").withColumn("place", F.monotonically_increasing_id())
+    rows = rows.withColumn("id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
+    groups = jaccard_groups(rows, n=5, num=80, id_col="id")
+    gone = Table(groups.filter("doc_id <> component_id").select(F.col("doc_id.place").alias("_place")), "near-copies").df
     gone = F.broadcast(gone) if gone.limit(MAX_SENT + 1).count() <= MAX_SENT else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return rows.join(gone, F.col("place") == F.col("_place"), "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, k=5, carry=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.filter("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents without ten words in a row (or a whole shorter item) of the benchmark. Null and empty texts have none and
+    stay; repeated rows are judged one by one; an empty table or benchmark removes nothing; whole texts are searched;
+    other columns pass, whatever their names."""
+    rows = packed(docs, "doc_id", "text")
+    found = find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, k=5, carry=("row",))
+    return found.filter("not contaminated").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    mixed = mix_to_targets(docs, cap=3, carry=tuple(c for c in docs.columns if c != "doc_id"))
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Every document as often as the mix takes it, up to three times. A null source is a source; null and empty texts have no
+    words and stay once; rows equal in id, source and size are told apart by number; an empty table gives no rows; other
+    columns pass, whatever their names."""
+    mixed = mix_to_targets(packed(docs, "doc_id", "text", "source"), cap=3, carry=("row",)).filter("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each copy."""
-    return shard_by_bytes(docs, n_shards=40)
+    """Shard and slot of each copy, as ``doc_id, size, text_crc32, law, shard, slot, grown_shard``. Null ids and texts and
+    repeated rows are ordinary records, very long texts weigh what they have; an empty table gives no rows; other columns are not read."""
+    return shard_by_bytes(packed(docs, "doc_id", "text"), n_shards=40)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
