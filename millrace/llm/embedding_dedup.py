@@ -296,11 +296,12 @@ def audit_recall(nodes: DataFrame, found: DataFrame, threshold: float, every: in
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", overlap: int = 2,
                     beam: int = BEAM, least_recall: float = 0.98) -> DataFrame:
-    """One row per vector: ``vec_id, n_links, component_id, kept``.
+    """One row per vector: ``vec_id, n_links, component_id, kept, audited_recall``.
 
     n_links: other vectors with a cosine at or above the threshold, copies included, as far as the search finds them
     (none below); component_id: the smallest vec_id reachable; kept: whether that is the vector's own. Null or zero
     vectors and those with null or non-finite components link with nothing, nor do vectors of different length.
+    audited_recall, the same in all rows, is the least that the audits found (null where they met no links).
     Repeated rows are vectors of their own. A null id is never the smallest. Empty input, no rows.
     """
     spark = vectors.sparkSession
@@ -313,7 +314,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     lengths = [r[0] for r in once.df.groupBy(F.size("embedding")).count().limit(MAX_LENGTHS + 1).collect()]
     if len(lengths) > MAX_LENGTHS:
         raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
-    found = None
+    found, recalls = None, []
     for k in lengths:
         own = once.df.filter(F.size("embedding") == k)
         for turn in range(MAX_TURNS):
@@ -328,6 +329,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
             # No links in the audit even with the widest search: there is nothing to hold it against.
             if recall is not None:
                 raise RuntimeError(f"recall {recall:.4f} for vectors of length {k} is under {least_recall} with overlap {overlap + turn}")
+        recalls += [recall] if recall is not None else []
         found = part.df if found is None else found.union(part.df)
     if found is None:
         found = spark.createDataFrame([], "node long, links long, label long")
@@ -339,4 +341,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     of_node = Table(known.join(least, "label").select(F.col("node").alias("k"), "links", "least"), "vector-components")
     return rows.select("vec_id", "node").join(of_node.df, F.col("node") == F.col("k"), "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"),
-        F.coalesce(F.coalesce("least", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+        F.coalesce(F.coalesce("least", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(min(recalls, default=None)).cast("double").alias("audited_recall"))

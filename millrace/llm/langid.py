@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from .common import Table, prepare
 from .textkit import BLOCK_BYTES
 
-#: Labelled rows to fit on, about, for each language (a sample by a hash of the text); all rows of rarer languages.
+#: Labelled rows to fit on, about, for each language (a seeded sample of rows, so that copies of a text count like others); all
+#: rows of rarer languages.
 FIT_ROWS = 3000
-MAX_LANGUAGES = 512
-#: Trigrams of the model at most; languages times trigrams stay under MAX_CELLS, and that is what reaches the driver.
-MAX_GRAMS, MAX_CELLS = 30_000, 1_000_000
+MAX_LANGUAGES = 4096
+#: The model's size, which is what reaches the driver and each worker: its trigrams are the most frequent of the fitted rows,
+#: MAX_GRAMS at most and LEAST_GRAMS at least, with MAX_CELLS for trigrams times languages in between; all others are one.
+MAX_GRAMS, LEAST_GRAMS, MAX_CELLS = 30_000, 4_000, 2_000_000
 #: A trigram shares two of its three characters with its neighbours: likelihood gains count a third.
 OVERLAP = 3.0
 
@@ -108,7 +110,8 @@ class Model:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, penalty: float = 3.0) -> Model | None:
     """The model of a table of texts with languages; None where no row has both.
 
-    Fits on all rows of languages with up to ``fit_rows`` rows, and on a hash sample of about that many of the others.
+    Fits on all rows of languages with up to ``fit_rows`` rows, and on a seeded sample of about that many of the others. The text and the language
+    are all that is read.
     """
     spark = labelled.sparkSession
     prepare(spark)
@@ -120,7 +123,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
         return None
     languages = sorted(sizes)
     rate = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, fit_rows / sizes[k]))]), F.col("lang"))
-    sample = rows.filter(F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 11) / F.lit(float(1 << 53)) < rate)
+    sample = rows.filter(F.rand(17) < rate)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +134,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
 
     counts = Table(sample.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "langid-counts")
-    n_grams = min(MAX_GRAMS, MAX_CELLS // len(languages))
+    n_grams = min(MAX_GRAMS, max(LEAST_GRAMS, MAX_CELLS // len(languages)))
     top = counts.df.groupBy("code").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "code").limit(n_grams)
     codes = np.array(sorted(r[0] for r in top.select("code").collect()), np.int64)
     totals = {r[0]: r[1] for r in counts.df.groupBy("lang").agg(F.sum("n")).collect()}

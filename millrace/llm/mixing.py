@@ -10,13 +10,18 @@ along the sizes, so that each source's words stay near their target.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Table, word_count
 
-#: Constraints (sources) at most; their sums reach the driver, one row each. More raise ValueError.
-MAX_CONSTRAINTS = 4096
+#: Constraints (sources) at most; their sums reach the driver, a row or two each. More raise ValueError.
+MAX_CONSTRAINTS = 1_000_000
+#: Constraints that documents share (with several features each) at most: their system is solved as a matrix.
+MAX_DENSE = 4096
+#: Values of sources that go into an expression; more are joined.
+MAX_LITERALS = 4096
 #: Slices of the documents of one source and size, so that many equal documents are ranked by many tasks.
 SLICES = 1024
 MAX_ITERATIONS = 60
@@ -58,30 +63,55 @@ def entropy_balance(units: DataFrame, targets: dict[int, float], tolerance: floa
         raise ValueError(f"{n} constraints; at most {MAX_CONSTRAINTS} are supported")
     t, m = np.array([targets.get(k, 0.0) for k in range(n)]), np.zeros(n)
     for _ in range(MAX_ITERATIONS):
-        values = F.array(*[F.lit(float(x)) for x in m]) if n else F.array().cast("array<double>")
-        tilt = F.exp(F.aggregate("features", F.lit(0.0), lambda a, f: a + f["v"] * F.element_at(values, f["k"] + 1)))
-        rated = units.select((F.col("mass") * tilt).alias("w"), "features")
         # Gradient (j = -1) and Hessian in one pass; a unit adds one entry for each pair of its own features.
         one = F.struct(F.lit(-1).alias("k"), F.lit(1.0).alias("v"))
-        sums = (rated.select("w", "features", F.explode("features").alias("a"))
+        sums = (_tilted(units, m).select("w", "features", F.explode("features").alias("a"))
                 .select("w", "a", F.explode(F.concat(F.array(one), "features")).alias("b"))
                 .groupBy(F.col("a.k").alias("i"), F.col("b.k").alias("j"))
-                .agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("s")).collect())
-        g, h = -t.copy(), np.zeros((n, n))
-        for i, j, s in sums:
-            if j < 0:
-                g[i] += s
-            else:
-                h[i, j] = s
-        live = np.diag(h) > 0
+                .agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("s")).toArrow())
+        i, j, x = (sums[c].to_numpy() for c in ("i", "j", "s"))
+        g, h = -t.copy(), np.zeros(n)
+        g[i[j < 0]] += x[j < 0]
+        h[i[i == j]] = x[i == j]
+        live = h > 0
         if not live.any() or np.abs(g[live]).max() <= tolerance * max(1.0, np.abs(t).max()):
             break
         step = np.zeros(n)
-        step[live] = np.linalg.lstsq(h[np.ix_(live, live)], -g[live], rcond=None)[0]
+        if (j >= 0).sum() == live.sum():  # no unit has two features: the dual falls apart
+            step[live] = -g[live] / h[live]
+            step /= np.maximum(np.abs(step) / 2.0, 1.0)
+            m += step
+            continue
+        if n > MAX_DENSE:
+            raise ValueError(f"{n} constraints that units share; at most {MAX_DENSE} are supported")
+        full = np.zeros((n, n))
+        full[i[j >= 0], j[j >= 0]] = x[j >= 0]
+        step[live] = np.linalg.lstsq(full[np.ix_(live, live)], -g[live], rcond=None)[0]
         m += step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
     return m
 
 
+def _tilted(units: DataFrame, m: np.ndarray) -> DataFrame:
+    """``w, features``: the mass of each unit times exp(multipliers . features)."""
+    if len(m) <= MAX_LITERALS:
+        values = F.array(*[F.lit(float(x)) for x in m]) if len(m) else F.array().cast("array<double>")
+        tilt = F.exp(F.aggregate("features", F.lit(0.0), lambda a, f: a + f["v"] * F.element_at(values, f["k"] + 1)))
+        return units.select((F.col("mass") * tilt).alias("w"), "features")
+    known = units.sparkSession.createDataFrame(pa.table({"k": pa.array(np.arange(len(m)), pa.int32()), "m": m}))
+    rows = units.withColumn("_u", F.monotonically_increasing_id()).select("_u", "mass", "features", F.explode("features").alias("f"))
+    rows = rows.join(known, F.col("f.k") == F.col("k")).groupBy("_u", "mass", "features").agg(F.sum(F.col("f.v") * F.col("m")).alias("x"))
+    return rows.select((F.col("mass") * F.exp("x")).alias("w"), "features")
+
+
+def _by_source(df: DataFrame, values: dict[int, float], name: str, kind: str) -> DataFrame:
+    """``df`` with a column of the values of its sources ``_k``, null where there is none."""
+    if len(values) <= MAX_LITERALS:
+        every = F.create_map(*[F.lit(x) for kv in values.items() for x in kv]) if values else F.create_map().cast(f"map<int,{kind}>")
+        return df.withColumn(name, F.try_element_at(every, F.col("_k")).cast(kind))
+    known = df.sparkSession.createDataFrame(pa.table({"_kk": pa.array(list(values), pa.int32()), name: list(values.values())}))
+    return df.join(known.withColumn(name, F.col(name).cast(kind)), F.col("_k") == F.col("_kk"), "left").drop("_kk")
+
+
 def _null_safe(c: str) -> tuple[Column, Column]:
     """Two columns without nulls that stand for ``c`` as a key."""
     return F.col(c).isNull().alias("_null"), F.coalesce(F.col(c), F.lit("")).alias("_s")
@@ -110,8 +140,8 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = {r["_source"]: r["s"] for r in per_source}
     targets = capped_targets(sizes, cap)
     number = {s: i for i, s in enumerate(sizes)}
-    known = F.broadcast(spark.createDataFrame(  # one row a source, at most MAX_CONSTRAINTS
-        [(s, i, sizes[s], targets[s]) for s, i in number.items()], "_source string, _k int, source_size long, target double"))
+    known = spark.createDataFrame([(s, i, sizes[s], targets[s]) for s, i in number.items()], "_source string, _k int, source_size long, target double")
+    known = F.broadcast(known) if len(number) <= MAX_LITERALS else known
 
     def with_source(df: DataFrame) -> DataFrame:
         return df.join(known.withColumnRenamed("_source", "_s"), df["_source"].eqNullSafe(F.col("_s"))).drop("_s")
@@ -123,9 +153,8 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Sizes of a source in order, with the number of documents up to each: systematic rounding along that axis.
     by_size = with_source(cells.df.groupBy("_source", "size").agg(F.sum("n").alias("n")))
-    rates = F.element_at(F.array(*[F.lit(rate[i]) for i in range(len(rate))]) if rate else F.array(F.lit(1.0)), F.col("_k") + 1)
     w = Window.partitionBy("_k").orderBy("size")  # a row for each distinct size of a source, not for each document
-    by_size = by_size.withColumn("rate", rates).withColumn("_upto", F.sum("n").over(w)).withColumn(
+    by_size = _by_source(by_size, rate, "rate", "double").withColumn("_upto", F.sum("n").over(w)).withColumn(
         "_f", F.col("rate") - F.floor("rate"))
     quota = Table(by_size.select("_source", "_k", "source_size", "target", "rate", "size", "n", F.floor("rate").alias("base"), (
         F.floor(F.col("_f") * F.col("_upto") + 0.5) - F.floor(F.col("_f") * (F.col("_upto") - F.col("n")) + 0.5)).alias("up")), "mix-quota")
@@ -142,14 +171,16 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         open_ = {k: e for k, e in error.items() if abs(least[k]) >= (close or max(1.0, FAR * goal[k])) and goal[k] > 0}
         if not open_:
             break
-        e = F.element_at(F.create_map(*[F.lit(x) for k, v in open_.items() for x in (k, float(v))]), F.col("_k"))
+        e = F.col("_e")
         touched = spark.createDataFrame([(k, z, d) for k, own in moves.items() for z, d in own.items()], "_k int, size long, _d long")
-        now = quota.df.join(F.broadcast(touched), ["_k", "size"], "left").withColumn("_up", F.col("up") + F.coalesce("_d", F.lit(0)))
+        touched = F.broadcast(touched) if len(moves) <= MAX_LITERALS else touched
+        now = _by_source(quota.df, {k: float(v) for k, v in open_.items()}, "_e", "double").filter("_e is not null")
+        now = now.join(touched, ["_k", "size"], "left").withColumn("_up", F.col("up") + F.coalesce("_d", F.lit(0)))
         copies = F.col("n") * F.col("base") + F.col("_up")
         same_way = F.coalesce(F.col("_d") * F.signum(e) >= 0, F.lit(True))
         able = F.when(e > 0, copies < F.col("n") * cap).otherwise(copies > 0) & same_way
         gap = F.abs(F.abs(e) - F.col("size"))
-        found = now.filter(F.col("_k").isin(*open_) & able & (F.col("size") > 0)).groupBy("_k").agg(F.min_by("size", F.struct(gap, "size")).alias("size")).collect()
+        found = now.filter(able & (F.col("size") > 0)).groupBy("_k").agg(F.min_by("size", F.struct(gap, "size")).alias("size")).collect()
         if not found:
             break
         for k, z in found:
@@ -164,7 +195,8 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flips = {(k, z): d for k, own in best_moves.items() for z, d in own.items()}
 
     # From the quota of a size to slices, and from slices to documents: one exchange, on the slice, serves both.
-    done = F.broadcast(spark.createDataFrame([(k, s, d) for (k, s), d in flips.items()], "_k int, size long, _d long"))
+    done = spark.createDataFrame([(k, s, d) for (k, s), d in flips.items()], "_k int, size long, _d long")
+    done = F.broadcast(done) if len(flips) <= MAX_LITERALS else done
     final = quota.df.join(done, ["_k", "size"], "left").select(
         *_null_safe("_source"), "size", "source_size", "target", "rate", F.col("n").alias("_n"),
         (F.col("n") * F.col("base") + F.col("up") + F.coalesce("_d", F.lit(0))).alias("_up"))

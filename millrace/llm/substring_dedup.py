@@ -65,7 +65,8 @@ def window_signatures(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np
         sym, doc = np.where(follow, mix(sym[first] * _U(0xAEF17502108EF2D9) + sym[nxt]), sym[first]), doc[first]
     g = np.zeros(len(sym) + TRIPLE, np.uint64)
     for k in range(TRIPLE):
-        g[: len(sym) - k] = g[: len(sym) - k] * _U(0xD1342543DE82EF95) + sym[k:]
+        n = max(len(sym) - k, 0)
+        g[:n] = g[:n] * _U(0xD1342543DE82EF95) + sym[k:]
     g = mix(g)
     room = hi - TRIPLE - lo
     best, where = np.full(len(at), 0xFFFFFFFFFFFFFFFF, np.uint64), np.full(len(at), -1)
