@@ -41,6 +41,18 @@ def test_entropy_balance_meets_joint_constraints(spark):
         assert sum(a * v for a, (_, f) in zip(w, rows) for j, v in f if j == k) == pytest.approx(t, rel=1e-6)
 
 
+def test_more_sources_than_an_expression_holds(spark):
+    rows = [(i, "word " * (1 + i % 7), f"s{i % 5000:04}") for i in range(15_000)]
+    got = mix_to_targets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {}
+    for r, (_, _, s) in zip(sorted(got, key=lambda r: r.doc_id), rows):
+        by.setdefault(s, []).append(r)
+        assert r.taken <= 3 * r.size
+    sizes = {s: sum(r.size for r in rs) for s, rs in by.items()}
+    targets = capped_targets(sizes)
+    assert all(rs[0].target == pytest.approx(targets[s]) and abs(sum(r.taken for r in rs) - targets[s]) <= max(r.size for r in rs) for s, rs in by.items())
+
+
 def test_mixing_laws(docs_frame, corpus, odd_rows):
     rows = corpus + [(i, t, None, random.Random(i or 0).choice(["src1", None, "tiny"])) for i, t in odd_rows] + [(500, "alone " * 3, None, "one")]
     got = mix_to_targets(docs_frame(rows)).collect()
