@@ -105,6 +105,35 @@ def batch(df: DataFrame, max_size: int, latency: int, keys: list[str], columns:
     return _keyed(df, keys, batch_step(max(1, max_size), latency), "batch_id bigint", columns)
 
 
+def count_fold_step(size: int, init: object, fn: Callable):
+    """State of a fold that starts anew after ``size`` rows; the row that completes it gets the emission and the state."""
+
+    def step(state, *values):
+        emission, n, acc = state or (0, 0, init)
+        acc, n = fn(acc, *values), n + 1
+        return ((emission + 1, 0, init), (emission, acc)) if n >= size else ((emission, n, acc), (None, None))
+
+    return step
+
+
+def fold_by_count(df: DataFrame, size: int, init: object, fn: Callable, inputs: list[str], kind: str, keys: list[str]) -> DataFrame:
+    """An emission after every ``size`` successes of a key, with the time of its last row: ``emission`` from 0 and ``state`` (of
+    DDL type ``kind``), the fold of ``fn(state, *inputs)`` from ``init``. An emission that is not full waits."""
+    rows = df.filter(is_success()).select(*dict.fromkeys([*keys, *inputs]), SEQ, TS, micros(F.col(TS)).alias("_us"))
+    out = stateful_fold(rows, keys, ["_us", SEQ], inputs, count_fold_step(size, init, fn), f"emission bigint, state {kind}")
+    return out.filter("emission is not null").select(*keys, F.col(TS).alias("end_ts"), "emission", "state")
+
+
+def _latency_step(last, us):
+    return us, (None if last is None else us - last,)
+
+
+def latencies(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """All rows with ``latency``, the microseconds since the key's row before: what a monitor averages by interval."""
+    rows = df.select(*columns, SEQ, TS, micros(F.col(TS)).alias("_us"))
+    return stateful_fold(rows, keys, ["_us", SEQ], ["_us"], _latency_step, "latency bigint").drop("_us")
+
+
 def circuit_breaker(df: DataFrame, keys: list[str], columns: list[str], rate: float = 0.5, least: int = 10, pause: int = 30_000_000, probes: int = 3) -> DataFrame:
     """All rows, errors counting as failures, with ``outcome`` and ``circuit``."""
     rows = df.select(*columns, SEQ, TS, micros(F.col(TS)).alias("_us"), is_error().alias("_failed"))

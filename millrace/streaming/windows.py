@@ -30,6 +30,13 @@ def tumbling(df: DataFrame, size: str, lateness: str = "0 seconds", aggregates:
     return _flat(_marked(df, lateness).groupBy(F.window(TS, size), *(by or [])).agg(*_counts(aggregates)))
 
 
+def monitor(df: DataFrame, interval: str, seconds: float, lateness: str = "0 seconds") -> DataFrame:
+    """By interval, final once the watermark passes its end: item count and rate (per second); the rows are left as they are."""
+    out = _marked(df, lateness).groupBy(F.window(TS, interval)).agg(F.count("*").alias("item_count"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start_ts"), F.col("window.end").cast("timestamp_ntz").alias("end_ts"), "item_count",
+                      F.round(F.col("item_count") / seconds, 6).alias("rate"))
+
+
 def sliding(df: DataFrame, size: str, slide: str, lateness: str = "0 seconds", aggregates: dict[str, Column] | None = None) -> DataFrame:
     """Collected sliding windows, counted from the epoch, whose first slide holds a row."""
     out = _marked(df, lateness).groupBy(F.window(TS, size, slide)).agg(F.min(TS).alias("_first"), *_counts(aggregates))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions.envelope import is_error, is_success, wrap
+from millrace.functions.envelope import is_error, is_success, micros, wrap
+from millrace.operators import aggregate as A
 from millrace.operators import flow as L
 from millrace.operators import resilience as S
 from millrace.operators import window as W
@@ -48,6 +50,27 @@ def test_dedupe_forgets_quiet_keys(pair):
     assert ids(run_to_memory(got, "s_dedupe")) == ids(L.dedupe(batch, ["user_id"], 24 * HOUR).filter(is_success()))
 
 
+def test_folds_monitor_and_retry(pair):
+    batch, stream = pair
+    got = stateful.fold_by_count(stream, 8, 7, lambda a, x: (a * 31 + x) % 1_000_003, ["event_id"], "bigint", ["user_id"])
+    want = A.fold_by_count(batch, 8, F.lit(7).cast("long"), lambda a, x: (a * 31 + x["event_id"]) % 1_000_003, ["event_id"], ["user_id"]).filter("n = 8")
+    rows = lambda df: sorted(map(tuple, df.select("user_id", "emission", "state").collect()))
+    assert rows(run_to_memory(got, "s_fold")) == rows(want)
+    by_hour = {(r.start_ts, r.item_count, r.rate) for r in A.monitor(batch.filter("event_id < 1000000000"), HOUR).collect()}
+    assert {(r.start_ts, r.item_count, r.rate) for r in run_to_memory(windows.monitor(stream, "1 hour", 3600.0), "s_monitor").collect()} == by_hour
+    w = Window.partitionBy("user_id").orderBy("_ts", "_seq")
+    own = batch.withColumn("latency", micros(F.col("_ts")) - F.lag(micros(F.col("_ts"))).over(w))
+    assert ids(run_to_memory(stateful.latencies(stream, ["user_id"], ["event_id", "user_id"]), "s_latency").fillna(-1, ["latency"]), "latency") == ids(own.fillna(-1, ["latency"]), "latency")
+
+    def flaky(row, n):
+        if n <= row["user_id"] % 5:
+            raise ValueError("not yet")
+        return n
+
+    assert ids(run_to_memory(S.retry(stream, flaky, "bigint", 3), "s_retry").filter("attempts is not null").fillna(-1, ["result"]), "result", "attempts") == ids(
+        S.retry(batch, flaky, "bigint", 3).filter("attempts is not null").fillna(-1, ["result"]), "result", "attempts")
+
+
 def test_circuit_breaker(pair):
     batch, stream = pair
     got = run_to_memory(stateful.circuit_breaker(stream, ["user_id"], ["event_id", "user_id"], 0.3, 5, 24 * HOUR, 2), "s_breaker")
