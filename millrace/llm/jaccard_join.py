@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ _U = np.uint64
 #: Documents whose texts are wanted for comparing are sent as a list up to this many; more are joined.
 MAX_SENT = 1_000_000
 #: Rows, and shingles in all, of half a block in which sets are compared all against all.
-GROUP_ROWS, GROUP_SHINGLES = 512, 500_000
+GROUP_ROWS, GROUP_SHINGLES = 512, 300_000
+#: Pairs, and bytes of their texts, that are compared at a time.
+PART_PAIRS, PART_BYTES = 256, 2 << 20
 #: Sets whose digests agree in their first halves, at most: by chance there is hardly one in ten thousand million sets.
 MAX_CLASHES = 10_000
 #: In the cost model, what a segment of one shingle or none costs, in signatures: it can agree by chance.
@@ -286,8 +289,12 @@ def jaccard_groups(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "do
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
+                size = sum(np.asarray(pc.binary_length(batch.column(k)).fill_null(0), np.int64) for k in (2, 3))
+                i = 0
+                while i < batch.num_rows:  # few pairs at a time where their texts are long
+                    fit = int(np.searchsorted(np.cumsum(size[i : i + PART_PAIRS]), PART_BYTES, "right"))
+                    part = batch.slice(i, max(1, min(fit, PART_PAIRS)))
+                    i += part.num_rows
                     a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                     rows = dict.fromkeys([*zip(a, part.column(2).to_pylist()), *zip(b, part.column(3).to_pylist())])
                     known = named_sets([k for k, _ in rows], pa.array([t for _, t in rows], pa.string()), n, lower)
