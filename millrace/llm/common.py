@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.shipping import ship_package
 
-MAX_BATCH_ROWS = 1000
+MAX_BATCH_ROWS = 500
 #: Spark's setting that deletes an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"

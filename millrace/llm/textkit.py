@@ -2,7 +2,7 @@
 
 A word's name is a 64-bit hash of its bytes, lane by lane, so all executors name a word alike without a dictionary; where
 names decide, they are checked against the bytes (``same``) or taken with a second name. Texts are
-taken in blocks of half a megabyte; a longer text is a block of its own.
+taken in blocks of a quarter of a megabyte; a longer text is a block of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 _U = np.uint64
 
 
