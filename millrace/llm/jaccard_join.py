@@ -27,6 +27,8 @@ from .textkit import BLOCK_BYTES, Words, blocks, byte_table, mix
 _U = np.uint64
 #: Documents whose texts are wanted for comparing are sent as a list up to this many; more are joined.
 MAX_SENT = 1_000_000
+#: Texts that a task remembers as signed, so that it signs no copies of them; then it begins anew.
+MAX_SIGNED = 200_000
 #: Rows, and shingles in all, of half a block in which sets are compared all against all.
 GROUP_ROWS, GROUP_SHINGLES = 512, 300_000
 #: Pairs, and bytes of their texts, that are compared at a time.
@@ -127,9 +129,12 @@ def exact_sets(w: Words, n: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(g: np.ndarray, bounds: np.ndarray, num: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) rows for the sets of a block, under the schemes of their own band and the one below."""
+def signatures(g: np.ndarray, bounds: np.ndarray, num: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set) rows for the ``wanted`` sets of a block, all if not given, under the schemes of their own band and
+    the one below."""
     sizes = np.diff(bounds)
+    if wanted is not None and not wanted.all():
+        g, sizes = g[np.repeat(wanted, sizes)], np.where(wanted, sizes, 0)
     live = np.flatnonzero(sizes > 0)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     values = mix(g ^ _U(0xA0761D6478BD642F))
@@ -249,12 +254,20 @@ def jaccard_groups(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "do
                     names=["doc_id", "n_shingles", "set_id", "check"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[int] = set()
         for batch in batches:
             for _, _, g, bounds, w, _ in shingle_sets(batch.column(0), n, lower):
-                sig, which = signatures(g, bounds, num)
-                node, check = (x[which] for x in w.digests())
+                node, check = w.digests()
                 if len(clashing):
                     node = np.where(np.isin(node, clashing), check, node)
+                if len(signed) > MAX_SIGNED:
+                    signed.clear()
+                again = np.zeros(len(node), bool)  # copies of a text that this task has signed
+                for i, k in enumerate(node.tolist()):
+                    again[i] = k in signed
+                    signed.add(k)
+                sig, which = signatures(g, bounds, num, ~again)
+                node = node[which]
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node)], names=["sig", "node"])
 
     kind = docs.schema[id_col].dataType.simpleString()
