@@ -50,4 +50,44 @@ OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER
   t AS (SELECT *, strlen(h) >= 1000 AND page_id <> last AS again FROM p)
   SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM t"""
 
-SQL = {"op2_decontamination": OP2, "op3_jaccard": OP3, "op4_substring": OP4, "op9_embeddings": OP9, "op10_warc": OP10}
+OP11 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.c, v.c) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.c) = len(v.c) WHERE q.vec_id % 50 = 0)
+  SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+#: The checksum's polynomial and masks are fixed values.
+OP12 = """WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+  r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+  b AS (SELECT run, k, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END)) AS bytes FROM r),
+  h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM b, t),
+  m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM h),
+  v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+  d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+  p AS (SELECT x.word AS a, y.word AS b, y.n FROM d x JOIN d y ON x.i = y.i AND x.less = y.less AND x.word <> y.word
+    UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+  c AS (SELECT a, count(*) AS n_near, max(n) AS best_n FROM p GROUP BY a),
+  o AS (SELECT p.a, min(p.b) AS best FROM p JOIN c ON p.a = c.a AND p.n = c.best_n GROUP BY p.a),
+  f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n
+    FROM v LEFT JOIN c ON v.word = c.a LEFT JOIN o ON v.word = o.a),
+  l AS (SELECT word, form, word AS root, form AS further FROM f UNION ALL SELECT l.word, l.form, f.word, f.form FROM l JOIN f ON l.further = f.word)
+  SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM f JOIN l ON f.word = l.word WHERE l.further IS NULL""".replace("{upper}", _UPPER).replace("{lower}", _LOWER)
+
+OP13 = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+  b AS (SELECT doc_id AS id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+  m AS (SELECT part, (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+      || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+      || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS failed, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d LEFT JOIN b ON doc_id = id),
+  g AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, failed),
+  x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+  o AS (SELECT p.f || q.f || r.f || s.f || t.f AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+  a AS (SELECT filter_order, step, filter_order[step] AS f, failed, contains(failed, filter_order[step]) AS fails,
+      len(list_filter(string_split(failed, ''), lambda c: contains(filter_order[1 : step - 1], c) AND c <> '')) > 0 AS gone
+    FROM o, (SELECT unnest(range(1, 6)) AS step), (SELECT DISTINCT failed FROM g)),
+  y AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN a.failed = f THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END) AS toxic_lost
+    FROM g JOIN a ON g.failed = a.failed GROUP BY ALL)
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM y"""
+
+SQL = {"op2_decontamination": OP2, "op3_jaccard": OP3, "op4_substring": OP4, "op9_embeddings": OP9, "op10_warc": OP10, "op11_topk": OP11, "op12_spelling": OP12, "op13_filters": OP13}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .embedding_dedup import near_duplicates
+from .filter_audit import filter_audit
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_groups
 from .langid import fit, identify
@@ -16,7 +17,9 @@ from .line_dedup import dedup_lines
 from .mixing import mix_to_targets
 from .oracle import SQL
 from .sharding import shard_by_bytes
+from .spelling import spelling_variants
 from .substring_dedup import remove_repeats
+from .top_k import top_k
 from .warc import round_trip
 
 
@@ -78,8 +81,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their more frequent forms."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, in every order."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_jaccard, op4_substring, op5_mixing, op6_html, op7_sharding, op8_lines, op9_embeddings, op10_warc)}
+    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_jaccard, op4_substring, op5_mixing, op6_html, op7_sharding, op8_lines, op9_embeddings, op10_warc,
+                                  op11_topk, op12_spelling, op13_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
