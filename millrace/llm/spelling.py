@@ -137,7 +137,7 @@ def chunk_bounds(words: DataFrame, key: str, n: int) -> list[str]:
     if n == 1:
         return []
     cut = words.select(key).repartitionByRange(n, key)
-    return sorted(r[0] for r in cut.groupBy(F.spark_partition_id().alias("chunk")).agg(F.min(key).alias("first")).collect())[1:]
+    return sorted(r["first"] for r in cut.groupBy(F.spark_partition_id().alias("chunk")).agg(F.min(key).alias("first")).collect())[1:]
 
 
 def near_words(words: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
