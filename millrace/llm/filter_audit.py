@@ -134,7 +134,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null or empty text has no words and no characters: it fails A, and E if a smaller id has one too. Of equal texts the
     smallest id is the original, with all rows that repeat it; a null id is smaller than none and has none before it. A
-    null part is the empty one. A document with several rows of labels is good, or toxic, if one of them says so; one without
+    null part is the empty one. A document with several rows of labels is good, or toxic, if one of them says so; one without any or without id
     is neither. Very long texts are judged whole, in pieces; an empty table gives no rows; other columns are not read,
     whatever their names.
     """
