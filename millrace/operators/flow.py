@@ -36,15 +36,16 @@ def batch_step(max_size: int, latency: int):
     return step
 
 
-def batch(df: DataFrame, max_size: int, latency: int = 0, keys: list[str] | None = None) -> DataFrame:
+def batch(df: DataFrame, max_size: int, latency: int = 0, keys: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Successes with a ``batch_id`` from 1 (of each key). A batch ends at ``max_size`` rows (0: one row each) or, if
-    ``latency`` (microseconds) is positive, before a row that arrives that long after its first. Errors pass without."""
+    ``latency`` (microseconds) is positive, before a row that arrives that long after its first. Errors pass without. Many rows
+    of one key, or of none, are worked on in ranges side by side (``ranges``: how many, even if they are few rows)."""
     keys, size = keys or [], max(1, max_size)
     if latency <= 0:
         n = number_successes(df, keys)
         return n.withColumn("batch_id", F.floor((F.col("_n") - 1) / size) + 1).drop("_n")
     rows = df.withColumns({"_us": micros(F.col(TS)), "_on": is_success()})
-    return segmented(rows, keys, [TS, SEQ], "_us", latency, size, "_on").withColumnRenamed("_segment", "batch_id").drop("_us", "_on", "_starts")
+    return segmented(rows, keys, [TS, SEQ], "_us", latency, size, "_on", ranges=ranges).withColumnRenamed("_segment", "batch_id").drop("_us", "_on", "_starts")
 
 
 def collect_batches(df: DataFrame, columns: list[str], keys: list[str] | None = None, batch: str = "batch_id") -> DataFrame:
@@ -81,13 +82,13 @@ def throttle_step(duration: int):
     return step
 
 
-def throttle(df: DataFrame, duration: int, keys: list[str] | None = None) -> DataFrame:
+def throttle(df: DataFrame, duration: int, keys: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Successes at least ``duration`` microseconds after the last one let through (of the key); the first passes, and what
-    is dropped starts no new pause. Errors pass."""
+    is dropped starts no new pause. Errors pass. Many rows of one key, or of none, are worked on in ranges side by side (``ranges``: how many, even if they are few rows)."""
     if duration <= 0:
         return df
     rows = df.withColumns({"_us": micros(F.col(TS)), "_on": is_success()})
-    out = segmented(rows, keys or [], [TS, SEQ], "_us", duration, 0, "_on")
+    out = segmented(rows, keys or [], [TS, SEQ], "_us", duration, 0, "_on", ranges=ranges)
     return out.filter(is_error() | F.col("_starts")).drop("_us", "_on", "_segment", "_starts")
 
 
@@ -121,11 +122,11 @@ def debounce(df: DataFrame, duration: int, keys: list[str] | None = None) -> Dat
     return out.drop("_good", "_us", "_next")
 
 
-def dedupe(df: DataFrame, keys: list[str], ttl: int | None = DEFAULT_TTL) -> DataFrame:
+def dedupe(df: DataFrame, keys: list[str], ttl: int | None = DEFAULT_TTL, ranges: int | None = None) -> DataFrame:
     """The successes of each key that come ``ttl`` microseconds or more after the last one let through; without one
     (None), the first of each key. Errors pass."""
     if ttl is not None:
-        return throttle(df, ttl, keys)
+        return throttle(df, ttl, keys, ranges)
     # Summed in each task before the exchange: a frequent key sends one row of each.
     kept = df.filter(is_success()).groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(TS, SEQ)).alias("_row")).select("_row.*")
     return kept.unionByName(df.filter(is_error()))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.envelope import (
     ERR, SEQ, SESSION_KEY, TS, WINDOW_END, WINDOW_GAP, WINDOW_SIZE, WINDOW_SLIDE, WINDOW_START, WINDOW_TYPE, from_micros, is_error, is_success, micros)
+from millrace.functions.fold import segmented
 
 
 def _marked(df: DataFrame, start: Column, end: Column, kind: str, size: int, slide: Column | None = None, gap: Column | None = None, key: Column | None = None) -> DataFrame:
@@ -64,25 +65,44 @@ def sliding(df: DataFrame, size: int, slide: int | None = None, keys: list[str]
     return _marked(out, start, start + size, "sliding", size, F.lit(slide)).drop("_us", "_first", "_b", "_o")
 
 
-def session(df: DataFrame, key: str, gap: int) -> DataFrame:
-    """Every row in its key's session: sessions end when ``gap`` microseconds and more pass without a row; the end is the
-    last row's time plus the gap. A row exactly ``gap`` after the last one still belongs to the session."""
-    if gap <= 0:
-        raise ValueError("the gap must be positive")
+def _session_numbers(df: DataFrame, key: str, gap: int, most: int | None) -> DataFrame:
+    """Rows with ``_us`` and the number ``_s`` of their key's session."""
+    if gap <= 0 or (most is not None and most <= 0):
+        raise ValueError("the gap and the longest duration must be positive")
     rows = df.withColumn("_us", micros(F.col(TS)))
+    if most is not None:
+        numbered = segmented(rows.withColumn("_on", F.lit(True)), [key], [TS, SEQ], "_us", most, 0, "_on", gap)
+        return numbered.withColumnRenamed("_segment", "_s").drop("_on", "_starts")
     order = Window.partitionBy(key).orderBy(TS, SEQ)
     new = F.coalesce(F.col("_us") - F.lag("_us").over(order) > gap, F.lit(True))
-    rows = rows.withColumn("_new", new.cast("int")).withColumn("_s", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(key, "_s")
-    rows = rows.withColumns({"_start": F.min("_us").over(whole), "_end": F.max("_us").over(whole) + gap})
-    return _marked(rows, F.col("_start"), F.col("_end"), "session", 0, gap=F.lit(gap), key=F.col(key)).drop("_us", "_new", "_s", "_start", "_end")
+    return rows.withColumn("_new", new.cast("int")).withColumn("_s", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
 
+def _session_end(last: Column, first: Column, gap: int, most: int | None) -> Column:
+    return last + gap if most is None else F.least(last + gap, first + most)
 
-def sessions(df: DataFrame, key: str, gap: int, aggregates: dict[str, Column]) -> DataFrame:
-    """Sessions as rows, merged by Spark's own session operator: ``key``, bounds and aggregates."""
+
+def session(df: DataFrame, key: str, gap: int, most: int | None = None) -> DataFrame:
+    """Every row in its key's session: sessions end when ``gap`` microseconds and more pass without a row; the end is the
+    last row's time plus the gap. A row exactly ``gap`` after the last one still belongs to the session. With ``most``, a
+    session is closed ``most`` microseconds after its first row at the latest, and a row that comes then opens another."""
+    rows = _session_numbers(df, key, gap, most)
+    whole = Window.partitionBy(key, "_s")
+    rows = rows.withColumns({"_start": F.min("_us").over(whole), "_last": F.max("_us").over(whole)})
+    end = _session_end(F.col("_last"), F.col("_start"), gap, most)
+    return _marked(rows, F.col("_start"), end, "session", 0, gap=F.lit(gap), key=F.col(key)).drop("_us", "_s", "_start", "_last")
+
+
+def sessions(df: DataFrame, key: str, gap: int, aggregates: dict[str, Column], most: int | None = None) -> DataFrame:
+    """Sessions as rows: ``key``, bounds and aggregates. Merged by Spark's own session operator, or, with ``most``, summed up in
+    each task before they are put together."""
+    named = [a.alias(k) for k, a in aggregates.items()]
+    if most is not None:
+        out = _session_numbers(df, key, gap, most).groupBy(key, "_s").agg(F.min("_us").alias("_start"), F.max("_us").alias("_last"), *named)
+        end = _session_end(F.col("_last"), F.col("_start"), gap, most)
+        return out.select(key, from_micros(F.col("_start")).alias(WINDOW_START), from_micros(end).alias(WINDOW_END), *aggregates)
     w = F.session_window(TS, f"{gap} microseconds")
-    return df.groupBy(key, w.alias("w")).agg(*[a.alias(k) for k, a in aggregates.items()]).select(
-        key, F.col("w.start").alias(WINDOW_START), F.col("w.end").alias(WINDOW_END), *aggregates)
+    return df.groupBy(key, w.alias("w")).agg(*named).select(key, F.col("w.start").alias(WINDOW_START), F.col("w.end").alias(WINDOW_END), *aggregates)
 
 
 def collect_windows(df: DataFrame, by: list[str] | None = None, aggregates: dict[str, Column] | None = None) -> DataFrame:

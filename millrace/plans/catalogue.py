@@ -219,6 +219,18 @@ def batcher_size_latency(spark, d):
     return out.groupBy("user_id", "batch_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
+#: SQL of the starts of a greedy chain over all successes: from one to the next by time, or by count.
+CHAIN = """WITH RECURSIVE {ev}, n AS (SELECT event_id, us, row_number() OVER (ORDER BY ts, event_id) AS rn FROM e WHERE ok),
+  r AS (SELECT rn, us FROM n WHERE rn = 1 UNION ALL SELECT min(n.rn), min(n.us) FROM r, n WHERE n.us >= r.us + {wait} OR n.rn = r.rn + {size} HAVING count(*) > 0)"""
+
+
+@query(CHAIN.format(ev=EV, wait=2 * HOUR, size=40) + """, b AS (SELECT rn, row_number() OVER (ORDER BY rn) AS batch_id, coalesce(lead(rn) OVER (ORDER BY rn), (SELECT count(*) + 1 FROM n)) - rn AS n FROM r)
+  SELECT batch_id, b.n, event_id AS first_id FROM b JOIN n ON b.rn = n.rn""")
+def batcher_latency_global(spark, d):
+    out = L.batch(events(spark, d), 40, 2 * HOUR).filter(is_success())
+    return out.groupBy("batch_id").agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("_ts", "_seq")).alias("first_id"))
+
+
 def _greedy(keys: str, wait: int) -> str:
     """SQL of the rows at least ``wait`` after the last one kept."""
     on = " AND ".join(f"n.{k} = r.{k}" for k in keys.split(", "))
@@ -234,6 +246,11 @@ def throttle_keyed(spark, d):
     return L.throttle(events(spark, d), DAY, ["user_id"]).select("event_id", is_error().alias("failed"))
 
 
+@query(CHAIN.format(ev=EV, wait=HOUR, size="NULL") + " SELECT event_id, FALSE AS failed FROM n SEMI JOIN r ON n.rn = r.rn UNION ALL SELECT event_id, TRUE FROM e WHERE NOT ok")
+def throttle_global(spark, d):
+    return L.throttle(events(spark, d), HOUR).select("event_id", is_error().alias("failed"))
+
+
 @query("SELECT event_id, event_type = 'error' AS failed FROM events")
 def throttle_zero(spark, d):
     return L.throttle(events(spark, d), 0).select("event_id", is_error().alias("failed"))
@@ -301,6 +318,14 @@ def dedupe_ttl(spark, d):
     return L.dedupe(events(spark, d), ["user_id", "event_type"], 6 * HOUR).select("event_id", is_error().alias("failed"))
 
 
+@query(f"""WITH RECURSIVE {EV}, n AS (SELECT event_type, event_id, us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM e WHERE ok),
+  r AS (SELECT event_type, rn, us FROM n WHERE rn = 1 UNION ALL SELECT r.event_type, min(n.rn), min(n.us) FROM r JOIN n ON n.event_type = r.event_type AND n.us >= r.us + 21600000000 GROUP BY r.event_type)
+  SELECT event_id, FALSE AS failed FROM n SEMI JOIN r ON n.event_type = r.event_type AND n.rn = r.rn UNION ALL SELECT event_id, TRUE FROM e WHERE NOT ok""")
+def dedupe_ttl_hot(spark, d):
+    """A handful of keys with all rows."""
+    return L.dedupe(events(spark, d), ["event_type"], 6 * HOUR, ranges=16).select("event_id", is_error().alias("failed"))
+
+
 @query("SELECT count(DISTINCT (user_id, event_type)) AS unique_count, count(*) - count(DISTINCT (user_id, event_type)) AS duplicate_count FROM events WHERE event_type <> 'error'")
 def dedupe_stats(spark, d):
     df = events(spark, d)
@@ -489,6 +514,24 @@ def session_collected(spark, d):
     return W.collect_windows(W.session(events(spark, d), "user_id", 12 * HOUR))
 
 
+CAPPED = f"""WITH RECURSIVE {EV}, n AS (SELECT user_id, event_id, us, ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM e),
+  r AS (SELECT user_id, event_id, us, ok, rn, us AS t0, us AS last, 1 AS s FROM n WHERE rn = 1
+    UNION ALL SELECT user_id, event_id, us, ok, rn, CASE WHEN new THEN us ELSE t0 END, us, s + CAST(new AS INTEGER)
+    FROM (SELECT n.*, r.t0, r.s, n.us - r.last > 43200000000 OR n.us - r.t0 >= 86400000000 AS new FROM r JOIN n ON n.user_id = r.user_id AND n.rn = r.rn + 1))"""
+
+
+@query(CAPPED + """ SELECT event_id, make_timestamp(t0) AS window_start, make_timestamp(least(max(us) OVER w + 43200000000, t0 + 86400000000)) AS window_end, CAST(user_id AS VARCHAR) AS session_key
+  FROM r WINDOW w AS (PARTITION BY user_id, s)""")
+def session_capped_rows(spark, d):
+    return W.session(events(spark, d), "user_id", 12 * HOUR, most=DAY).select("event_id", "window_start", "window_end", "session_key")
+
+
+@query(CAPPED + """ SELECT user_id, make_timestamp(min(us)) AS window_start, make_timestamp(least(max(us) + 43200000000, min(us) + 86400000000)) AS window_end, count(*) AS n, count(*) FILTER (ok) AS good
+  FROM r GROUP BY user_id, s""")
+def session_capped_stats(spark, d):
+    return W.sessions(events(spark, d), "user_id", 12 * HOUR, {"n": F.count("*"), "good": F.count_if(is_success())}, most=DAY)
+
+
 @query(f"""WITH {EV}, h AS (SELECT *, us - us % 3600000000 AS w FROM e)
   SELECT make_timestamp(w) AS window_start, make_timestamp(w + 3600000000) AS window_end, coalesce(string_agg(CASE WHEN NOT ok THEN event_id || ':error event' END, ',' ORDER BY ts, event_id), '') AS errors FROM h GROUP BY w""")
 def window_errors(spark, d):
