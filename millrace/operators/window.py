@@ -56,11 +56,14 @@ def sliding(df: DataFrame, size: int, slide: int | None = None, keys: list[str]
         start = F.col("_first") + F.col("_b") * slide
         return _marked(rows, start, start + size, "sliding", size, F.lit(slide)).drop("_us", "_first", "_b")
     # Occupied first slides, a row for each; a row of the stream meets the few buckets whose windows reach it.
-    opened = rows.select(*keys, F.col("_b").alias("_o")).distinct()
+    opened = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob")).distinct()
     reach = -(-size // slide) - 1
     cand = rows.withColumn("_o", F.explode(F.sequence(F.col("_b") - reach, F.col("_b"))))
     cand = cand.filter(F.col("_us") < F.col("_first") + F.col("_o") * slide + size)
-    out = cand.join(opened, [*keys, "_o"], "left_semi")
+    same = F.col("_o") == F.col("_ob")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = cand.join(opened, same, "left_semi")
     start = F.col("_first") + F.col("_o") * slide
     return _marked(out, start, start + size, "sliding", size, F.lit(slide)).drop("_us", "_first", "_b", "_o")
 

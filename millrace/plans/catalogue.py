@@ -13,6 +13,7 @@ from millrace.functions.envelope import ERR, is_error, is_success, wrap
 from millrace.operators import aggregate as A
 from millrace.operators import basic as B
 from millrace.operators import flow as L
+from millrace.operators import panes as N
 from millrace.operators import resilience as S
 from millrace.operators import route as R
 from millrace.operators import window as W
@@ -490,7 +491,41 @@ def sliding_rows(spark, d):
 
 @query(_sliding_sql(30 * MINUTE, 5 * MINUTE) + " SELECT make_timestamp(s) AS window_start, make_timestamp(s + 1800000000) AS window_end, count(*) AS item_count, count(*) FILTER (ok) AS success_count, count(*) FILTER (NOT ok) AS error_count FROM w GROUP BY ALL")
 def sliding_stats(spark, d):
-    return W.collect_windows(W.sliding(events(spark, d), 30 * MINUTE, 5 * MINUTE))
+    return N.collect_sliding(events(spark, d), 30 * MINUTE, 5 * MINUTE)
+
+
+MEASURES = """count(*) AS item_count, count(*) FILTER (ok) AS success_count, count(*) FILTER (NOT ok) AS error_count, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total,
+  min(value) AS low, max(value) AS high, arg_min(event_id, (us, event_id)) AS first_id, arg_max(event_id, (us, event_id)) AS last_id"""
+
+
+def _measures() -> dict[str, N.Mergeable]:
+    total = N.total(F.col("value").cast("decimal(18,2)"))
+    return {"total": N.Mergeable(total.partial, total.merge, lambda m: m["s"].cast("double")), "low": N.least(F.col("value")), "high": N.greatest(F.col("value")),
+            "first_id": N.earliest(F.col("event_id")), "last_id": N.latest(F.col("event_id"))}
+
+
+def _sliding_measures_sql(size: int, slide: int) -> str:
+    w = _sliding_sql(size, slide).replace("SELECT event_id, ok,", "SELECT e.*,")
+    return w + f" SELECT make_timestamp(s) AS window_start, make_timestamp(s + {size}) AS window_end, {MEASURES} FROM w GROUP BY s"
+
+
+@query(_sliding_measures_sql(5 * HOUR, 5 * MINUTE))
+def sliding_long(spark, d):
+    """Every row is in sixty windows."""
+    return N.collect_sliding(events(spark, d), 5 * HOUR, 5 * MINUTE, _measures())
+
+
+@query(_sliding_measures_sql(90 * MINUTE, 60 * MINUTE))
+def sliding_uneven(spark, d):
+    """The slide does not divide the size."""
+    return N.collect_sliding(events(spark, d), 90 * MINUTE, 60 * MINUTE, _measures())
+
+
+@query(f"""WITH {EV}, f AS (SELECT user_id, min(us) AS f FROM e GROUP BY user_id), b AS (SELECT DISTINCT user_id, f, (us - f) // 14400000000 AS b FROM e JOIN f USING (user_id)),
+  w AS (SELECT e.*, f + b * 14400000000 AS s FROM e JOIN b USING (user_id) WHERE us >= f + b * 14400000000 AND us < f + b * 14400000000 + 86400000000)
+  SELECT user_id, make_timestamp(s) AS window_start, make_timestamp(s + 86400000000) AS window_end, {MEASURES} FROM w GROUP BY user_id, s""")
+def sliding_keyed(spark, d):
+    return N.collect_sliding(events(spark, d), DAY, 4 * HOUR, _measures(), ["user_id"])
 
 
 SESSIONS = f"""WITH {EV}, g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 43200000000 THEN 1 ELSE 0 END AS new FROM e),
