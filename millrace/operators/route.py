@@ -59,8 +59,12 @@ def partition_hash(df: DataFrame, key: str, n: int, name: str = "partition") ->
 
 def partition_round_robin(df: DataFrame, n: int, name: str = "partition") -> DataFrame:
     """Successes in turn from partition 0; errors go to 0 and take no turn."""
-    out = _partitioned(number_successes(df, []), (F.col("_n") - 1) % _count(n), n, "round_robin", name)
-    return out.drop("_n")
+    return round_robin_by_number(number_successes(df, []), n, name)
+
+
+def round_robin_by_number(df: DataFrame, n: int, name: str = "partition") -> DataFrame:
+    """The same of rows whose successes are numbered from 1 in ``_n``."""
+    return _partitioned(df, (F.col("_n") - 1) % _count(n), n, "round_robin", name).drop("_n")
 
 
 def partition_custom(df: DataFrame, index: Column, n: int, name: str = "partition") -> DataFrame:
