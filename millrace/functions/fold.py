@@ -58,6 +58,41 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[
     return dealt.mapInArrow(run, schema)
 
 
+def block_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], block: Callable, out: str, active: str | None = None) -> DataFrame:
+    """``ordered_fold`` with a function of arrays: ``block(state, *inputs)`` gets the next rows of a key, as many as there are in the
+    batch, and returns ``(state, outputs)``, an array for each column of ``out``. Inputs are whole numbers or booleans without nulls."""
+    ship_package(df.sparkSession)
+    own = StructType.fromDDL(out)
+    schema = StructType([*df.schema.fields, *own.fields])
+    dealt = (df.repartition(*[F.col(k) for k in keys]) if keys else df.repartition(1)).sortWithinPartitions(*keys, *order)
+    types = [{"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()] for f in own]
+    kinds = [{"boolean": bool, "string": object}.get(f.dataType.simpleString(), np.int64) for f in own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            news, key_of = _blocks(batch, keys)
+            values = [np.asarray(col(c)) for c in inputs]
+            on = np.asarray(col(active).fill_null(False)) if active else np.ones(n, bool)
+            found = [np.zeros(n, k) for k in kinds]
+            for a, b in zip([0, *news.tolist()], [*news.tolist(), n]):
+                if a or at is None or key_of(0) != at:
+                    state = None
+                where = a + np.flatnonzero(on[a:b])
+                if len(where):
+                    state, results = block(state, *(v[where] for v in values))
+                    for f, r in zip(found, results):
+                        f[where] = r
+            at = key_of(n - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, t, mask=~on) for f, t in zip(found, types))], names=[f.name for f in schema])
+
+    return dealt.mapInArrow(run, schema)
+
+
 #: Keys whose segments are found one after the other rather than a step of all at once.
 FEW = 16
 #: Estimated size below which no key is too much for a task, and beyond which a share of the rows is looked at for such keys.

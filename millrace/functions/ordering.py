@@ -113,3 +113,24 @@ def range_of(bounds: list[tuple[int, ...]], columns: list[str]) -> Column:
 def estimated_bytes(df: DataFrame) -> int:
     """What Spark's own statistics say of the size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def with_neighbour(df: DataFrame, us: str, tie: str, name: str, after: bool = True, ranges: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the whole number ``us`` of the next row (or the one before) in the order of ``us`` and ``tie``, over all rows.
+    Quantiles cut the order into ranges; a range's last row looks at the first of the next range that has rows, of which a
+    row a range is collected."""
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = df.schema[tie].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    rows = df.withColumns({"_u": F.col(us), "_q": F.coalesce(F.col(tie).cast("long"), F.lit(LEAST)) if whole else F.lit(0).cast("long")})
+    bounds, _ = cut_points(rows.select("_u", "_q"), ["_u", "_q"], ranges)
+    cut = rows.withColumn("_range", range_of(bounds, ["_u", "_q"]))
+    edges = dict(cut.groupBy("_range").agg((F.min if after else F.max)("_u")).collect())  # one row a range
+    beyond, seen = [None] * (len(bounds) + 1), None
+    for r in reversed(range(len(beyond))) if after else range(len(beyond)):
+        beyond[r] = seen
+        seen = edges.get(r, seen)
+    w = Window.partitionBy("_range").orderBy(us, tie)
+    own = F.lead("_u").over(w) if after else F.lag("_u").over(w)
+    other = F.element_at(F.array(*[F.lit(x).cast("long") for x in beyond]), F.col("_range") + 1)
+    return cut.withColumn(name, F.coalesce(own, other)).drop("_u", "_q", "_range")

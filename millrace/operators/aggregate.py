@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.envelope import SEQ, TS, from_micros, is_success, micros
+from millrace.functions.ordering import with_neighbour
 
 from .flow import batch, number_successes
 
@@ -88,15 +89,11 @@ def monitor(df: DataFrame, interval: int, keys: list[str] | None = None) -> Data
     before (microseconds). The rows themselves are left as they are."""
     keys = keys or []
     us = micros(F.col(TS))
-    w = Window.partitionBy(*keys).orderBy(TS, SEQ) if keys else None
     rows = df.withColumns({"_us": us, "_w": us - F.pmod(us, F.lit(interval))})
-    if w is None:  # the row before, without a global task: within an interval, and across by the interval's last row
-        inside = Window.partitionBy("_w").orderBy(TS, SEQ)
-        edge = rows.groupBy("_w").agg(F.max("_us").alias("_last"))
-        edge = edge.select("_w", F.lag("_last").over(Window.orderBy("_w")).alias("_before"))  # a row an interval
-        rows = rows.withColumn("_prev", F.lag("_us").over(inside)).join(edge, "_w").withColumn("_prev", F.coalesce("_prev", "_before"))
+    if keys:
+        rows = rows.withColumn("_prev", F.lag("_us").over(Window.partitionBy(*keys).orderBy(TS, SEQ)))
     else:
-        rows = rows.withColumn("_prev", F.lag("_us").over(w))
+        rows = with_neighbour(rows, "_us", SEQ, "_prev", after=False)
     rows = rows.withColumn("_latency", F.col("_us") - F.col("_prev"))
     return rows.groupBy("_w").agg(
         F.count("*").alias("item_count"), F.round(F.count("*") / (interval / 1e6), 6).alias("rate"), F.round(F.avg("_latency"), 2).alias("avg_latency"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.envelope import ERR, SEQ, TS, is_error, is_success, micros
-from millrace.functions.fold import ordered_fold, segmented
-from millrace.functions.ordering import numbered
+from millrace.functions.fold import block_fold, segmented
+from millrace.functions.ordering import numbered, with_neighbour
 
 
 #: Rows that a sorted limit keeps in each task, at most.
@@ -104,19 +105,49 @@ def bucket_step(interval: int, burst: int):
     return step
 
 
+def bucket_block(interval: int, burst: int):
+    """The same over a key's ordered times: the bucket as the time at which it is full again, which a run of accepted rows moves on
+    by an interval each, or to an interval after a row that finds it full; the first row that comes too soon ends the run, and
+    the next that does not begins another."""
+    spare = (burst - 1) * interval
+
+    def block(full: int | None, us: np.ndarray) -> tuple[int, tuple[np.ndarray]]:
+        n, keep, i = len(us), np.zeros(len(us), bool), 0
+        full = int(us[0]) if full is None else full
+        while i < n:
+            length = 8
+            while i < n:  # a run of accepted rows, looked at in longer and longer pieces
+                piece = us[i : i + length]
+                steps = np.arange(len(piece) + 1) * interval
+                reach = steps + np.maximum.accumulate(np.append(full, piece - steps[:-1]))  # when it is full again, before each row
+                late = reach[:-1] - piece > spare
+                k = int(late.argmax()) if late.any() else len(piece)
+                keep[i : i + k] = True
+                full, i, length = (max(int(reach[k - 1]), int(piece[k - 1])) + interval if k else full), i + k, 2 * length
+                if k < len(piece):
+                    break
+            i = max(i, int(np.searchsorted(us, full - spare, "left"))) if i < n else n
+        return full, (keep,)
+
+    return block
+
+
 def token_bucket(df: DataFrame, interval: int, burst: int = 1, keys: list[str] | None = None) -> DataFrame:
     """Successes that find a token: one comes every ``interval`` microseconds, up to ``burst`` wait. Errors pass."""
     rows = df.withColumns({"_us": micros(F.col(TS)), "_on": is_success()})
-    out = ordered_fold(rows, keys or [], [TS, SEQ], ["_us"], bucket_step(interval, burst), "_keep boolean", active="_on")
+    out = block_fold(rows, keys or [], [TS, SEQ], ["_us"], bucket_block(interval, burst), "_keep boolean", active="_on")
     return out.filter(is_error() | F.col("_keep")).drop("_us", "_on", "_keep")
 
 
 def debounce(df: DataFrame, duration: int, keys: list[str] | None = None) -> DataFrame:
     """Successes followed by ``duration`` microseconds without another one, or by none; ``emitted_at`` is when. Errors
     pass and don't reset the wait."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]), "_good").orderBy(TS, SEQ)
     rows = df.withColumns({"_good": is_success(), "_us": micros(F.col(TS))})
-    rows = rows.withColumn("_next", F.lead("_us").over(w))
+    if keys:
+        rows = rows.withColumn("_next", F.lead("_us").over(Window.partitionBy(*keys, "_good").orderBy(TS, SEQ)))
+    else:
+        good = with_neighbour(rows.filter("_good"), "_us", SEQ, "_next")
+        rows = good.unionByName(rows.filter("not _good").withColumn("_next", F.lit(None).cast("long")))
     quiet = F.col("_next").isNull() | (F.col("_next") - F.col("_us") >= duration)
     out = rows.filter(is_error() | quiet).withColumn("emitted_at", F.when(is_success(), F.timestamp_micros(F.col("_us") + duration).cast("timestamp_ntz")))
     return out.drop("_good", "_us", "_next")

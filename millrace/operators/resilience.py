@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.envelope import SEQ, TS, is_success, micros, payload
-from millrace.functions.fold import ordered_fold
+from millrace.functions.fold import block_fold
 from millrace.functions.shipping import ship_package
 
 
@@ -89,8 +90,43 @@ def breaker_step(rate: float, least: int, pause: int, probes: int):
     return step
 
 
+def breaker_block(rate: float, least: int, pause: int, probes: int):
+    """The same over a key's rows as arrays: from one change of the circuit to the next, found by running counts, in longer and
+    longer pieces, while it is closed, and by time while it is open."""
+    step = breaker_step(rate, least, pause, probes)
+
+    def block(state, us: np.ndarray, failed: np.ndarray):
+        n, i = len(us), 0
+        outcome, circuit = np.where(failed, "failed", "passed").astype(object), np.full(n, "closed", object)
+        state = state or ("closed", 0, 0, 0)
+        while i < n:
+            mode, count, bad, since = state
+            if mode == "open" and us[i] - since < pause:
+                j = int(np.searchsorted(us, since + pause, "left"))
+                outcome[i:j], circuit[i:j], i = "rejected", "open", j
+            elif mode == "closed":
+                length = 16
+                while i < n and state[0] == "closed":
+                    counts = count + np.arange(1, len(us[i : i + length]) + 1)
+                    bads = bad + np.cumsum(failed[i : i + length])
+                    trips = (counts >= least) & (bads / counts >= rate)
+                    k = int(trips.argmax()) + 1 if trips.any() else len(counts)
+                    count, bad, i = int(counts[k - 1]), int(bads[k - 1]), i + k
+                    if trips.any():
+                        circuit[i - 1], state = "open", ("open", 0, 0, int(us[i - 1]))
+                    else:
+                        state = (mode, count, bad, since)
+                    length *= 2
+            else:  # half-open, a few rows
+                state, (outcome[i], circuit[i]) = step(state, int(us[i]), bool(failed[i]))
+                i += 1
+        return state, (outcome, circuit)
+
+    return block
+
+
 def circuit_breaker(df: DataFrame, failed: Column, keys: list[str], rate: float = 0.5, least: int = 10, pause: int = 30_000_000, probes: int = 3) -> DataFrame:
     """All rows with ``outcome`` (passed, failed, rejected) and the ``circuit`` after each (closed, open, half-open), by key."""
     rows = df.withColumns({"_us": micros(F.col(TS)), "_failed": F.coalesce(failed, F.lit(True))})
-    out = ordered_fold(rows, keys, [TS, SEQ], ["_us", "_failed"], breaker_step(rate, least, pause, probes), "outcome string, circuit string")
+    out = block_fold(rows, keys, [TS, SEQ], ["_us", "_failed"], breaker_block(rate, least, pause, probes), "outcome string, circuit string")
     return out.drop("_us", "_failed")

@@ -272,6 +272,12 @@ def debounce_keyed(spark, d):
     return L.debounce(events(spark, d), 6 * HOUR, ["user_id"]).select("event_id", "emitted_at")
 
 
+@query(f"""WITH {EV}, n AS (SELECT *, lead(us) OVER (ORDER BY ts, event_id) AS nxt FROM e WHERE ok)
+  SELECT event_id, ts + INTERVAL 10 MINUTE AS emitted_at FROM n WHERE nxt IS NULL OR nxt - us >= 600000000 UNION ALL SELECT event_id, NULL FROM e WHERE NOT ok""")
+def debounce_global(spark, d):
+    return L.debounce(events(spark, d), 10 * MINUTE).select("event_id", "emitted_at")
+
+
 @query("""WITH n AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS rn FROM events WHERE event_type <> 'error')
   SELECT event_type, event_id, CAST(rn // 7 AS BIGINT) AS chunk_id, CAST(rn % 7 AS BIGINT) AS chunk_place FROM n""")
 def chunk(spark, d):
