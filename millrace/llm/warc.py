@@ -15,18 +15,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, new_table_path, prepare
+from .common import Table, hadoop_path, new_table_path, prepare
 
 MAGIC = b"\x1f\x8b\x08"
 _EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + b"\x00" * 8
+#: Files that are read by one set of links.
+MAX_LINKS = 5000
 _DATE = "2024-01-01T00:00:00Z"
 RECORD = "row long, row_null boolean, url string, record_type string, payload binary, payload_bytes long, digest string, refers_to long, http_bytes long"
 
@@ -111,17 +116,19 @@ def parse_record(content: bytes) -> dict | None:
     lines = head.split(b"\r\n")
     if not sep or not lines[0].startswith(b"WARC/"):
         return None
-    fields = {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "surrogatepass") for k, _, v in (x.partition(b":") for x in lines[1:])}
-    block = rest[: int(fields.get("content-length", len(rest)))]
+    fields = {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
+    size = fields.get("content-length", "")
+    block = rest[: int(size)] if size.isdigit() else rest
     http, _, payload = block.partition(b"\r\n\r\n")
-    http_bytes = next((int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    http_bytes = next((int(n) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:") and (n := x.split(b":", 1)[1].strip()).isdigit()), None)
     kind = fields.get("warc-type")
     row = lambda v: (lambda s: int(s) if s.lstrip("-").isdigit() else None)(v.rsplit(":", 1)[-1].rstrip(">")) if v else None
-    digest = fields.get("warc-payload-digest", "").partition(":")[2]
+    how, _, digest = fields.get("warc-payload-digest", "").partition(":")
+    given = base64.b32decode(digest).hex() if how.lower() == "sha1" and re.fullmatch("[A-Z2-7]{32}", digest) else digest.lower() or None
     return {
         "row": row(fields.get("warc-record-id")), "row_null": "x-row:null" in fields.get("warc-record-id", ""), "url": fields.get("warc-target-uri"), "record_type": kind,
         "payload": payload if kind == "response" else None, "payload_bytes": len(payload) if kind == "response" else http_bytes,
-        "digest": hashlib.sha1(payload).hexdigest() if kind == "response" else (base64.b32decode(digest).hex() if digest else None),
+        "digest": hashlib.sha1(payload).hexdigest() if kind == "response" else given,
         "refers_to": row(fields.get("warc-refers-to")), "http_bytes": http_bytes}
 
 
@@ -154,17 +161,39 @@ class _Open:
         return True, content
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, piece``: what lies between magic bytes, by byte ranges. Files named ``.gz``, which Spark would inflate whole, are
+    read under other names, by links of Hadoop's view of file systems that only this read knows of."""
+    fs, p = hadoop_path(spark, path)
+    found = [x for top in fs.globStatus(p) or [] for x in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    names = [str(x.getPath()) for x in found if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    zipped = sorted(n for n in names if n.lower().endswith(".gz"))
+
+    def read(paths: list[str], options: dict[str, str]) -> DataFrame:
+        lines = spark.read.options(**options).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(paths)
+        return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
+
+    if not zipped:
+        return read([path], {})
+    plain = sorted(set(names) - set(zipped))
+    parts = [read(plain, {})] if plain else []
+    for i in range(0, len(zipped), MAX_LINKS):
+        view, links = f"warc-{uuid.uuid4().hex}", {f"/{k}/archive.warc": n for k, n in enumerate(zipped[i : i + MAX_LINKS])}
+        parts.append(read([f"viewfs://{view}{k}" for k in links], {f"fs.viewfs.mounttable.{view}.link.{k}": n for k, n in links.items()}))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records of the archives under ``path`` (see RECORD), in any order.
 
     Files are cut into byte ranges by ``spark.sql.files.maxPartitionBytes``; a record belongs to the range in which its
-    magic lies. Damaged members and members without a WARC header give no record. Names must not end in ``.gz``:
-    Spark would inflate such a file as a whole; nothing else depends on names. An empty archive gives no rows. The one
-    case read wrongly is a member that holds another WARC member uncompressed just where a range begins.
+    magic lies. Damaged members and members without a WARC header give no record. Files named ``.gz`` are cut like any
+    other. Records of other types and of other writers have nulls where they don't say what a field holds. An empty
+    archive gives no rows. The one case read wrongly is a member that holds another WARC member uncompressed just where a
+    range begins.
     """
     prepare(spark)
-    lines = (spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
-             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece")))
+    lines = _lines(spark, path)
     names = [f.split()[0] for f in RECORD.split(", ")]
     schema = f"{RECORD}, file string, block long, n int, piece binary"
 
