@@ -27,6 +27,14 @@ def jittered(wait: Column, u: Column) -> Column:
     return (wait * (0.5 + 0.5 * u)).cast("long")
 
 
+def wait_before(seq: object, n: int, base: int, most: int) -> int:
+    """The wait of a row before an attempt, with jitter by a hash of its number, so that it is the same whenever it is asked for."""
+    if n <= 1:
+        return 0
+    u = int(hashlib.md5(f"{seq}:{n}".encode()).hexdigest()[:8], 16) / 0xFFFFFFFF
+    return int(min(base * 2.0 ** (n - 2), most) * (0.5 + 0.5 * u))
+
+
 def retry(df: DataFrame, attempt: Callable[[dict, int], object], kind: str, max_attempts: int = 3, again: Callable[[str, int], bool] | None = None,
           base: int = 100_000, most: int = 30_000_000, name: str = "retry") -> DataFrame:
     """Call ``attempt(row, number)`` for each success until it returns, up to ``max_attempts`` times or until ``again``
@@ -44,9 +52,7 @@ def retry(df: DataFrame, attempt: Callable[[dict, int], object], kind: str, max_
                 result, failure, waited, n = None, None, 0, 0
                 while n < max_attempts:
                     n += 1
-                    if n > 1:
-                        u = int(hashlib.md5(f"{row[SEQ]}:{n}".encode()).hexdigest()[:8], 16) / 0xFFFFFFFF
-                        waited += int(min(base * 2.0 ** (n - 2), most) * (0.5 + 0.5 * u))
+                    waited += wait_before(row[SEQ], n, base, most)
                     try:
                         result, failure = attempt({c: row[c] for c in columns}, n), None
                         break
