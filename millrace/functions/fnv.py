@@ -51,7 +51,9 @@ def bytes_of_double(c: Column) -> Column:
 
 def with_fnv1a_mod(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     """``df`` with FNV-1a of a key modulo ``n`` (null for a null key): strings by their bytes, numbers by eight bytes, anything
-    else by its text. A number's bytes are taken one projection each, all of them in one piece of generated code."""
+    else by its text. A number's bytes are taken one projection each, all of them in one piece of generated code. The result
+    is exploded from an array of one: a filter on it reads it, where Spark would else move the filter below the projections
+    and spell all of them out in it, three times as often with each byte."""
     kind, c = df.schema[key].dataType.simpleString(), F.col(f"`{key}`")
     high, low = f"_{name}_high", f"_{name}_low"
     if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
@@ -68,4 +70,5 @@ def with_fnv1a_mod(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
         out = df.withColumn(hashed, _of_string(c.cast("string")))
         out = out.withColumns({high: F.col(hashed)["high"], low: F.col(hashed)["low"]}).drop(hashed)
     value = (((F.col(high) % n) * ((1 << 32) % n) + F.col(low) % n) % n).cast("int")
-    return out.withColumn(name, F.when(c.isNotNull(), value)).drop(high, low)
+    kept = [F.col(f"`{x}`") for x in df.columns if x != name]
+    return out.select(*kept, F.explode(F.array(F.when(c.isNotNull(), value))).alias(name))
