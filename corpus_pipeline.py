@@ -41,8 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     largest. Shingles of five words, similarity 0.8. Repeated rows, and equal ids or null ids with other texts, are rows of their own, so
     exactly one of a group stays. Null and empty texts are near nothing and stay. Very long texts are compared whole;
     an empty table gives no rows; other columns pass, whatever their names."""
-    # Written once: numbers of a scan depend on how it is cut, which changes with the executors that are there.
-    rows = Table(packed(docs, "doc_id", "text").withColumn("place", F.monotonically_increasing_id()), "numbered").df
+    # Written once: numbers of a scan depend on how it is cut, which changes with the executors that are there. Ids and texts
+    # are read from the rows, not written beside them.
+    rows = Table(packed(docs).withColumn("place", F.monotonically_increasing_id()), "numbered").df
+    rows = rows.select("row", "place", "row.doc_id", "row.text")
     rows = rows.withColumn("id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
     groups = jaccard_groups(rows, n=5, num=80, id_col="id")
     gone = Table(groups.filter("doc_id <> component_id").select(F.col("doc_id.place").alias("_place")), "near-copies").df
