@@ -671,9 +671,15 @@ def monitor_percentiles(spark, d):
 # Resilience.
 
 
-@query("SELECT CAST(a AS INTEGER) AS attempt, CAST(CASE WHEN a <= 1 THEN 0 ELSE least(100000 * power(2, a - 2), 30000000) END AS BIGINT) AS wait FROM (SELECT unnest(range(1, 13)) AS a)")
+SCHEDULE = """SELECT event_id, CAST(a AS INTEGER) AS attempt, CAST(CASE WHEN a <= 1 THEN 0 ELSE least(100000 * power(2, a - 2), 30000000) END AS BIGINT) AS wait
+  FROM (SELECT event_id, unnest(range(1, user_id % 12 + 2)) AS a FROM events WHERE event_type <> 'error')"""
+
+
+@query(SCHEDULE)
 def retry_schedule(spark, d):
-    return spark.range(1, 13).select(F.col("id").cast("int").alias("attempt"), S.delay(F.col("id")).alias("wait"))
+    """Every attempt of each success, which fails as often as its user's number says, with the wait before it."""
+    rows = events(spark, d).filter(is_success()).select("event_id", F.explode(F.sequence(F.lit(1), (F.col("user_id") % 12 + 1).cast("int"))).alias("attempt"))
+    return rows.select("event_id", "attempt", S.delay(F.col("attempt")).alias("wait"))
 
 
 def _flaky(row: dict, n: int) -> int:
