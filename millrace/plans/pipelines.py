@@ -14,7 +14,7 @@ from millrace.operators.basic import enrich, filter_ok, mapper, sample_by_key
 from millrace.operators.flow import batch, collect_batches, dedupe, flatten, number_successes, unbatch
 from millrace.operators.route import fan_in, fan_out, partition_custom, partition_hash, router, split
 from millrace.operators.window import collect_windows, tumbling
-from millrace.sources.files import read_events
+from millrace.sources.files import place_in_files, read_events
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
@@ -65,7 +65,9 @@ def group_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items split by discount, each side in count windows of 100 rows of a ship mode's flag."""
-    items = wrap(spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("line_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "l_shipdate", "line_id")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    # Order key and line number are no key: lines that agree in both and in the date come as they stand in the files.
+    items = wrap(lines.withColumn("line_id", F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), place_in_files().alias("place"))), "l_shipdate", "line_id")
     high, low = split(items, F.col("l_discount") >= 0.05)
     sums = {"quantity": F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double")}
     a = by_count(high, 100, sums, keys=["l_returnflag"]).withColumn("side", F.lit("high"))

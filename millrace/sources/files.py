@@ -38,6 +38,12 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrap(df, "ts", "event_id", failed=F.col("event_type") == "error", message="error event")
 
 
+def place_in_files() -> Column:
+    """The file of a row read from Parquet and its number there: what breaks ties the same way however the files are cut and
+    whichever executor reads them. Files come by name."""
+    return F.struct("_metadata.file_path", "_metadata.row_index")
+
+
 def from_rows(spark: SparkSession, rows: list[tuple], schema: str, ts: str, seq: str, failed: Column | None = None, message: str = "failed") -> DataFrame:
     """A small envelope from Python rows."""
     return wrap(spark.createDataFrame(rows, schema), ts, seq, failed, message)
